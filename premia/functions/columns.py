@@ -6,7 +6,7 @@ from pyspark.sql import types as T
 
 def parse_date(col, kind=None):
     """Timestamp, or NULL when the text is not a date."""
-    if isinstance(kind, (T.TimestampType, T.DateType)):
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         return col
     return F.try_to_timestamp(col.cast("string"))
 

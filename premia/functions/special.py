@@ -1,88 +1,94 @@
-"""Tail probabilities as Column expressions, for use on aggregated rows.
+"""Tail probabilities as expressions on aggregated rows.
 
-Regularised incomplete beta function: continued fraction evaluated by the modified Lentz
-method, with log-gamma from Stirling's series after shifting the argument past 10.
+The arguments are SQL expressions over the row's columns. The regularised incomplete beta
+function is a continued fraction by the modified Lentz method, with log-gamma from Stirling's
+series after shifting the argument past 10.
 """
 
-import math
-
 from pyspark.sql import functions as F
 
-_TINY = 1e-300
 _STEPS = 150
+_HALF_LOG_TWO_PI = "0.9189385332046727D"
+
+
+def _let(name, values, body):
+    """``body`` over ``name``.field values, each computed once however often it is used."""
+    fields = ", ".join(f"'{field}', double({value})" for field, value in values.items())
+    return f"element_at(transform(array(named_struct({fields})), {name} -> {body}), 1)"
 
 
-def _stirling_rest(x):
-    """log-gamma(x) minus its leading Stirling terms, for x >= 10."""
-    square = x * x
-    return (1 / (12 * x)) * (
-        1 - 1 / (30 * square) * (1 - 2 / (7 * square) * (1 - 3 / (4 * square)))
-    )
+def _stirling(x):
+    """log-gamma for x >= 10."""
+    rest = f"(1 - 1 / (30 * {x} * {x}) * (1 - 2 / (7 * {x} * {x}) * (1 - 3 / (4 * {x} * {x}))))"
+    return f"({x} - 0.5D) * ln({x}) - {x} + {_HALF_LOG_TWO_PI} + {rest} / (12 * {x})"
 
 
-def log_gamma(x):
-    shifted = x + 10
-    product = x
-    for offset in range(1, 10):
-        product = product * (x + offset)
-    large = (x - 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + _stirling_rest(x)
-    small = ((shifted - 0.5) * F.log(shifted) - shifted + 0.5 * math.log(2 * math.pi)
-             + _stirling_rest(shifted) - F.log(product))
-    return F.when(x >= 10, large).otherwise(small)
+def _log_gamma(x):
+    product = " * ".join(f"(h.x + {i})" for i in range(10))
+    return _let("g", {"x": x}, _let(
+        "h", {"x": "g.x", "direct": _stirling("g.x"), "above": _stirling("(g.x + 10)")},
+        f"CASE WHEN h.x >= 10 THEN h.direct ELSE h.above - ln({product}) END"))
 
 
 def _log_gamma_ratio(a, b):
     """log(gamma(a + b) / gamma(a)) without the loss of digits at large a."""
-    series = (b * F.log(a) + b * (b - 1) / (2 * a)
-              - b * (b - 1) * (2 * b - 1) / (12 * a * a))
-    return F.when((a > 1e5) & (b < 1e-2 * a), series).otherwise(
-        log_gamma(a + b) - log_gamma(a))
+    series = ("r.b * ln(r.a) + r.b * (r.b - 1) / (2 * r.a) "
+              "- r.b * (r.b - 1) * (2 * r.b - 1) / (12 * r.a * r.a)")
+    return _let("r", {"a": a, "b": b}, (
+        f"CASE WHEN r.a > 1e5 AND r.b < 1e-2 * r.a THEN {series} "
+        f"ELSE {_log_gamma('r.a + r.b')} - {_log_gamma('r.a')} END"))
 
 
-def _away_from_zero(col):
-    return F.when(F.abs(col) < _TINY, F.lit(_TINY)).otherwise(col)
+def _nonzero(x):
+    return f"(CASE WHEN abs({x}) < 1e-300 THEN 1e-300 ELSE {x} END)"
 
 
 def _fraction(x, a, b):
-    def advance(state, m):
-        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        d1 = 1 / _away_from_zero(1 + even * state["d"])
-        c1 = _away_from_zero(1 + even / state["c"])
-        d2 = 1 / _away_from_zero(1 + odd * d1)
-        c2 = _away_from_zero(1 + odd / c1)
-        return F.struct(c2.alias("c"), d2.alias("d"), (state["h"] * d1 * c1 * d2 * c2).alias("h"))
-
-    first = 1 / _away_from_zero(1 - (a + b) * x / (a + 1))
-    start = F.struct(F.lit(1.0).alias("c"), first.alias("d"), first.alias("h"))
-    steps = F.sequence(F.lit(1), F.lit(_STEPS)).cast("array<double>")
-    return F.aggregate(steps, start, advance, lambda state: state["h"])
-
-
-def incomplete_beta(x, rest, a, b):
+    def pair(source, term):
+        """Next denominators after one term of the fraction."""
+        return {"c": _nonzero(f"(1 + {term} / {source}.c)"),
+                "d": f"1 / {_nonzero(f'(1 + {term} * {source}.d)')}"}
+
+    odd = f"-({a} + m) * ({a} + {b} + m) * {x} / (({a} + 2 * m) * ({a} + 2 * m + 1))"
+    even = f"m * ({b} - m) * {x} / (({a} + 2 * m - 1) * ({a} + 2 * m))"
+    last = _let("y", {"h": "w.h", **pair("w", "w.odd")},
+                "named_struct('c', y.c, 'd', y.d, 'h', y.h * y.c * y.d)")
+    second = _let("w", {"odd": "u.odd", "c": "u.c", "d": "u.d", "h": "u.h * u.c * u.d"}, last)
+    first = _let("u", {"odd": "e.odd", "h": "e.h", **pair("e", "e.even")}, second)
+    step = _let("e", {"even": even, "odd": odd, "c": "s.c", "d": "s.d", "h": "s.h"}, first)
+    start = f"1 / {_nonzero(f'(1 - ({a} + {b}) * {x} / ({a} + 1))')}"
+    return _let("i", {"d": start}, (
+        f"aggregate(cast(sequence(1, {_STEPS}) AS array<double>), "
+        f"named_struct('c', 1D, 'd', i.d, 'h', i.d), (s, m) -> {step}, s -> s.h)"))
+
+
+def _incomplete_beta(x, rest, a, b):
     """I_x(a, b), with ``rest`` = 1 - x passed in so that it keeps its digits near x = 1."""
-    x, rest, a, b = (c.cast("double") for c in (x, rest, a, b))
-    log_front = (a * F.log(x) + b * F.log(rest)
-                 + _log_gamma_ratio(F.greatest(a, b), F.least(a, b)) - log_gamma(F.least(a, b)))
-    swap = x >= (a + 1) / (a + b + 2)
-    p, q = F.when(swap, b).otherwise(a), F.when(swap, a).otherwise(b)
-    part = F.exp(log_front) * _fraction(F.when(swap, rest).otherwise(x), p, q) / p
-    value = F.when(swap, 1 - part).otherwise(part)
-    return F.when(x <= 0, 0.0).when(rest <= 0, 1.0).when(x.isNotNull(), value)
+    front = ("exp(k.a * ln(k.x) + k.b * ln(k.rest) + "
+             f"{_log_gamma_ratio('greatest(k.a, k.b)', 'least(k.a, k.b)')} - "
+             f"{_log_gamma('least(k.a, k.b)')})")
+    swap = "k.x >= (k.a + 1) / (k.a + k.b + 2)"
+    part = _let("q", {
+        "x": f"if({swap}, k.rest, k.x)", "a": f"if({swap}, k.b, k.a)",
+        "b": f"if({swap}, k.a, k.b)", "front": front,
+    }, f"q.front * {_fraction('q.x', 'q.a', 'q.b')} / q.a")
+    value = _let("z", {"part": part}, f"if({swap}, 1 - z.part, z.part)")
+    return _let("k", {"x": x, "rest": rest, "a": a, "b": b}, (
+        f"CASE WHEN k.x <= 0 THEN 0D WHEN k.rest <= 0 THEN 1D "
+        f"WHEN k.x IS NOT NULL THEN {value} END"))
 
 
 def t_two_sided(t, df):
     """P(|T| >= |t|) for Student's t."""
-    df, square = df.cast("double"), t * t
-    return incomplete_beta(df / (df + square), square / (df + square), df / 2, F.lit(0.5))
+    return F.expr(_let("o", {"t": t, "df": df}, _incomplete_beta(
+        "o.df / (o.df + o.t * o.t)", "o.t * o.t / (o.df + o.t * o.t)", "o.df / 2", "0.5D")))
 
 
 def f_upper(f, df1, df2):
     """P(F >= f)."""
-    df1, df2 = df1.cast("double"), df2.cast("double")
-    total = df2 + df1 * f
-    return incomplete_beta(df2 / total, df1 * f / total, df2 / 2, df1 / 2)
+    return F.expr(_let("o", {"part": f"({df1}) * {f}", "df1": df1, "df2": df2}, _incomplete_beta(
+        "o.df2 / (o.df2 + o.part)", "o.part / (o.df2 + o.part)", "o.df2 / 2", "o.df1 / 2")))
 
 
 def chi2_upper_2df(x):
-    return F.exp(-x / 2)
+    return F.exp(-F.expr(x) / 2)

@@ -27,14 +27,17 @@ def filter_status(df, column="policy_status", valid=IN_FORCE_STATUSES):
     return df.where(F.col(column).isin(*valid))
 
 
-def impute_numbers(df, columns=None):
-    """Missing numbers: 0 in columns named like a value or an amount, else the median."""
+def impute_numbers(df, columns=None, bound=None):
+    """Missing numbers: 0 in columns named like a value or an amount, else the median.
+
+    Columns filled with a median become doubles.
+    """
     columns = numeric_columns(df) if columns is None else columns
     zero = [c for c in columns if "value" in c.lower() or "amount" in c.lower()]
     rest = [c for c in columns if c not in zero]
     filled = {c: F.coalesce(F.col(c), F.lit(0).cast(df.schema[c].dataType)) for c in zero}
     if rest:
-        found = quantiles(df, rest, [0.5])
+        found = quantiles(df, rest, [0.5], bound=bound)
         row = found.select(F.struct(*[F.col(c)[0].alias(c) for c in rest])).scalar()
         filled |= {c: F.coalesce(F.col(c).cast("double"), row[c]) for c in rest}
     return df.withColumns(filled)
@@ -77,18 +80,18 @@ def filter_positive(df, column):
     return df.where(F.col(column) > 0)
 
 
-def filter_quantile_cutoff(df, column, prob=0.99, factor=10):
+def filter_quantile_cutoff(df, column, prob=0.99, factor=10, bound=None):
     """Keep rows at most ``factor`` times the exact quantile."""
-    cutoff = quantiles(df, [column], [prob]).select(F.col(column)[0]).scalar()
+    cutoff = quantiles(df, [column], [prob], bound=bound).select(F.col(column)[0]).scalar()
     return df.where(F.col(column) <= cutoff * factor)
 
 
 def clean_policy(df, min_premium=1000, statuses=IN_FORCE_STATUSES):
-    df = coerce_types(dedupe(df), POLICY_DATES, POLICY_AMOUNTS)
+    raw, df = df, coerce_types(dedupe(df), POLICY_DATES, POLICY_AMOUNTS)
     if "policy_status" in df.columns:
         df = df.withColumn("policy_status", normalise_status(F.col("policy_status")))
         df = filter_status(df, valid=statuses)
-    df = impute_strings(impute_numbers(df))
+    df = impute_strings(impute_numbers(df, bound=raw))
     if "annual_premium" in df.columns:
         df = filter_low_premium(df, min_premium)
     if "insured_age" in df.columns:
@@ -96,20 +99,23 @@ def clean_policy(df, min_premium=1000, statuses=IN_FORCE_STATUSES):
     return df
 
 
-def clean_cash_value(df, ordered=False):
-    """Year values never negative; ``ordered`` sorts the result by policy and date."""
-    df = coerce_types(dedupe(df), ["valuation_date"], ["cash_value"])
+def clean_cash_value(df, ordered=False, distinct=True):
+    """Values never negative; ``ordered`` sorts the result by policy and date.
+
+    ``distinct`` off spares a shuffle where repeated rows do no harm, as for year-end values.
+    """
+    df = coerce_types(dedupe(df) if distinct else df, ["valuation_date"], ["cash_value"])
     if "cash_value" in df.columns:
         df = df.withColumn("cash_value", clip_nonnegative(F.col("cash_value")))
     return df.orderBy("policy_id", "valuation_date") if ordered else df
 
 
 def clean_premium(df, prob=0.99, factor=10):
-    df = coerce_types(dedupe(df), ["payment_date"], ["premium_amount"])
+    raw, df = df, coerce_types(dedupe(df), ["payment_date"], ["premium_amount"])
     if "premium_amount" not in df.columns:
         return df
     return filter_quantile_cutoff(filter_positive(df, "premium_amount"),
-                                  "premium_amount", prob, factor)
+                                  "premium_amount", prob, factor, bound=raw)
 
 
 def clean_dividend(df):
@@ -135,7 +141,7 @@ def cleaning_audit(df, min_premium=1000, statuses=IN_FORCE_STATUSES):
     counts += [F.count_if(kept & F.col(c).isNull()).alias(f"missing {c}")
                for c in numbers + texts]
     if "annual_premium" in numbers:
-        median = quantiles(unique.where(kept), ["annual_premium"], [0.5])
+        median = quantiles(unique.where(kept), ["annual_premium"], [0.5], bound=df)
         filled = F.coalesce(F.col("annual_premium"),
                             median.select(F.col("annual_premium")[0]).scalar())
         unique = unique.withColumn("low_premium", kept & (filled < min_premium))

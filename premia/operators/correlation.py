@@ -13,11 +13,12 @@ from premia.schemas import numeric_columns
 QUARTILE_LABELS = ["低", "中低", "中高", "高"]  # fixed values
 
 
-def correlation_p(r, n):
-    """Two-sided p of a correlation; a perfect one has p 0."""
-    t = r * F.sqrt((n - 2) / (1 - r * r))
-    return (F.when((n < 3) | r.isNull(), F.lit(None).cast("double"))
-            .when(F.abs(r) >= 1, 0.0).otherwise(t_two_sided(t, n - 2)))
+def with_p_value(rows):
+    """Adds the two-sided p_value to rows with n and correlation; a perfect one has p 0."""
+    r, n = F.col("correlation"), F.col("n")
+    t = F.when((n >= 3) & (F.abs(r) < 1), r * F.sqrt((n - 2) / (1 - r * r)))
+    p = F.when((n >= 3) & (F.abs(r) >= 1), 0.0).otherwise(t_two_sided("t", "n - 2"))
+    return rows.withColumn("t", t).withColumn("p_value", p)
 
 
 def _both(df, columns):
@@ -26,7 +27,7 @@ def _both(df, columns):
 
 def _report(row, method, x, y, alpha):
     r = F.col("correlation")
-    return row.where("n >= 3").withColumn("p_value", correlation_p(r, F.col("n"))).select(
+    return with_p_value(row.where("n >= 3")).select(
         F.lit(method).alias("method"), F.lit(x).alias("variable1"), F.lit(y).alias("variable2"),
         "n", "correlation", "p_value", (r * r).alias("r_squared"),
         (F.col("p_value") < alpha).alias("significant"),
@@ -114,10 +115,10 @@ def correlation_matrix(df, columns=None, method="pearson", alpha=0.05):
     long = row.select("n", F.explode(F.array(*cells)).alias("c")).select("n", "c.*")
     same = F.col("var1") == F.col("var2")
     size = F.abs("correlation")
-    p = F.when(same, 1.0).otherwise(correlation_p(F.col("correlation"), F.col("n")))
+    p = F.when(same, 1.0).otherwise(F.col("p_value"))
     notable = ~same & (F.col("p_value") < alpha) & (size > 0.3)
     return (
-        long.where(F.lit(len(columns) >= 2)).withColumn("p_value", p)
+        with_p_value(long.where(F.lit(len(columns) >= 2))).withColumn("p_value", p)
         .select("var1", "var2", "n", "correlation", "p_value", notable.alias("notable"),
                 (notable & (size > 0.5)).alias("strong"))
     )
@@ -166,15 +167,15 @@ def driver_correlations(df, target, features=None, alpha=0.05):
     cells = [F.struct(F.lit(c).alias("feature"), F.col(f"n{i}").alias("n"),
                       F.col(f"r{i}").alias("correlation")) for i, c in enumerate(features)]
     long = row.select(F.explode(F.array(*cells)).alias("c")).select("c.*").where("n >= 3")
-    return long.withColumn("p_value", correlation_p(F.col("correlation"), F.col("n"))).select(
+    return with_p_value(long).select(
         "feature", "n", "correlation", F.abs("correlation").alias("abs_correlation"), "p_value",
         (F.col("p_value") < alpha).alias("significant"))
 
 
 def key_drivers(df, target, features=None, top_n=5, alpha=0.05):
-    """The ``top_n`` features by |r| with their rank."""
+    """The ``top_n`` features by |r| with their rank; equal up to rounding, by name."""
     found = driver_correlations(df, target, features, alpha)
-    best = [F.desc_nulls_last("abs_correlation"), F.asc("feature")]
+    best = [F.round("abs_correlation", 12).desc_nulls_last(), F.asc("feature")]
     top = found.orderBy(*best).limit(top_n)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*best)))
 

@@ -49,10 +49,16 @@ def annual_premium(premium):
 
 
 def year_end_value(cash_value):
-    """Last valuation of each policy and year; the largest value of several on that day."""
-    order = F.struct("valuation_date", "cash_value")
-    return _by_year(cash_value, "valuation_date").groupBy("policy_id", "year").agg(
-        F.max(order)["cash_value"].alias("cash_value_eoy"))
+    """Last valuation of each policy and year; the largest value of several on that day.
+
+    The first aggregate, by day, spreads a policy with very many records over the tasks; both
+    stay hash aggregates, without the sort that a maximum over a struct needs. Repeated rows
+    change nothing, so the input need not be distinct.
+    """
+    days = _by_year(cash_value, "valuation_date").groupBy(
+        "policy_id", "year", "valuation_date").agg(F.max("cash_value").alias("cash_value"))
+    return days.groupBy("policy_id", "year").agg(
+        F.max_by("cash_value", "valuation_date").alias("cash_value_eoy"))
 
 
 def annual_dividend(dividend):
@@ -93,10 +99,9 @@ def cashflow_annual(premium, cash_value, dividend=None):
 
 def latest_year(cashflow):
     """Last row of each policy, by a keyed aggregate."""
-    fields = F.struct("year", "cumulative_premium", "cash_value_eoy", "cumulative_dividend")
-    return cashflow.groupBy("policy_id").agg(F.max(fields).alias("last")).select(
-        "policy_id", "last.cumulative_premium", "last.cash_value_eoy",
-        "last.cumulative_dividend", "last.year")
+    last = [F.max_by(c, "year").alias(c)
+            for c in ("cumulative_premium", "cash_value_eoy", "cumulative_dividend")]
+    return cashflow.groupBy("policy_id").agg(*last, F.max("year").alias("year"))
 
 
 def product_summary(policy, cashflow):

@@ -40,8 +40,8 @@ def ttest(df, value, group, groups=None, alpha=0.05):
     t, freedom = pooled_t(a["n"], a["mean"], a["var"], b["n"], b["mean"], b["var"])
     difference = a["mean"] - b["mean"]
     return (
-        pair.withColumn("t_statistic", t)
-        .withColumn("p_value", t_two_sided(F.col("t_statistic"), freedom))
+        pair.withColumns({"t_statistic": t, "freedom": freedom})
+        .withColumn("p_value", t_two_sided("t_statistic", "freedom"))
         .select(
             a["key"].alias("group1"), a["n"].alias("n1"), a["mean"].alias("mean1"),
             F.sqrt(a["var"]).alias("std1"),
@@ -68,7 +68,7 @@ def anova(df, value, group, alpha=0.05):
     within = (F.col("n") - 1) * F.col("var")
     sums = moments.withColumns({"all_mean": all_mean, "used_mean": used_mean}).agg(
         F.count("*").alias("groups"), F.count_if(used).alias("k"),
-        F.sum(F.when(used, F.col("n"))).alias("rows"),
+        F.sum(F.when(used, F.col("n"))).alias("used_rows"),
         F.sum(F.when(used, F.col("n") * F.pow(F.col("mean") - F.col("used_mean"), F.lit(2))))
         .alias("between_used"),
         F.sum(F.when(used, within)).alias("within"),
@@ -76,12 +76,11 @@ def anova(df, value, group, alpha=0.05):
         .alias("between_all"),
     ).where((F.col("groups") >= 3) & (F.col("k") >= 3))
     f = F.try_divide(F.col("between_used") / (F.col("k") - 1),
-                     F.col("within") / (F.col("rows") - F.col("k")))
+                     F.try_divide(F.col("within"), F.col("used_rows") - F.col("k")))
     total = F.col("between_all") + F.col("within")
     return (
         sums.withColumn("f_statistic", f)
-        .withColumn("p_value", f_upper(
-            F.col("f_statistic"), F.col("k") - 1, F.col("rows") - F.col("k")))
+        .withColumn("p_value", f_upper("f_statistic", "k - 1", "used_rows - k"))
         .select(
             F.col("k").alias("number_of_groups"), "f_statistic", "p_value",
             F.coalesce(F.try_divide(F.col("between_all"), total), F.lit(0.0))
@@ -140,7 +139,7 @@ def _dagostino(values, value):
     k2 = F.col("z_skew") * F.col("z_skew") + F.col("z_kurtosis") * F.col("z_kurtosis")
     return scores.withColumn("statistic", k2).select(
         F.lit("D'Agostino-Pearson检验").alias("test_type"), "n", "statistic",
-        chi2_upper_2df(F.col("statistic")).alias("p_value"))
+        chi2_upper_2df("statistic").alias("p_value"))
 
 
 def _kolmogorov_smirnov(values, value):

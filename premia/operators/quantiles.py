@@ -38,10 +38,14 @@ def long_values(df, value_cols, by=()):
     return rows.select(*by, "pair.name", "pair.v").where(keep)
 
 
-def quantiles(df, value_cols, probs, by=(), small_rows=None):
-    """``by`` columns plus, per value column, the array of its quantiles under its own name."""
+def quantiles(df, value_cols, probs, by=(), small_rows=None, bound=None):
+    """``by`` columns plus, per value column, the array of its quantiles under its own name.
+
+    ``bound`` may name a cheaper frame with at least as many rows, such as the scan behind
+    ``df``, to measure the size on.
+    """
     by, probs = list(by), [float(p) for p in probs]
-    if is_small(df, small_rows):
+    if is_small(df if bound is None else bound, small_rows):
         present = df
         for key in by:
             present = present.where(F.col(key).isNotNull())

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from premia.functions import labels
 from premia.functions.special import f_upper, t_two_sided
-from premia.operators.trends import slope_test
+from premia.operators.trends import with_slope_test
 
 DRIVERS = ["annual_premium", "payment_term", "sum_assured", "insured_age", "issue_year",
            "cumulative_premium"]
@@ -31,13 +31,10 @@ def _simple_sums(x, y):
 def _simple_measures(sums, alpha):
     """Fit columns from the aggregate row(s) of ``_simple_sums``."""
     n, sxx = F.col("n"), F.col("sxx")
-    rest = F.greatest(F.col("syy") - F.col("sxy") * F.col("sxy") / sxx, F.lit(0.0))
-    error, _, p = slope_test(F.col("slope"), sxx, F.col("syy"), F.col("sxy"), n)
-    r2 = 1 - F.col("sse") / F.col("syy")
     return (
-        sums.where("n >= 3 and sxx > 0 and syy > 0")
-        .withColumn("sse", rest)
-        .withColumns({"slope_std_error": error, "p_value": p, "r_squared": r2})
+        with_slope_test(sums.where("n >= 3 AND sxx > 0 AND syy > 0"))
+        .withColumnRenamed("std_err", "slope_std_error")
+        .withColumn("r_squared", 1 - F.col("sse") / F.col("syy"))
         .withColumns({
             "rmse": F.sqrt(F.col("sse") / (n - 2)),
             "adjusted_r_squared": 1 - (1 - F.col("r_squared")) * (n - 1) / (n - 2),
@@ -46,7 +43,7 @@ def _simple_measures(sums, alpha):
         .withColumn("intercept_std_error", F.col("rmse") * F.sqrt(
             1 / n + F.col("mean_x") * F.col("mean_x") / sxx))
         .withColumn("residuals_std", F.sqrt(F.col("sse") / n))
-        .drop("sxx", "syy", "sxy", "mean_x", "sse")
+        .drop("sxx", "syy", "sxy", "mean_x", "sse", "t")
     )
 
 
@@ -181,10 +178,9 @@ def ols_terms(fit, x_cols, alpha=0.05):
     rows = fit.select("n", F.explode(F.arrays_zip(
         names.alias("term"), F.col("coefficients").alias("coefficient"),
         F.col("std_errors").alias("std_error"))).alias("z")).select("n", "z.*")
-    freedom = F.col("n") - len(x_cols) - 1
     return (
         rows.withColumn("t", F.try_divide("coefficient", "std_error"))
-        .withColumn("p_value", t_two_sided(F.col("t"), freedom))
+        .withColumn("p_value", t_two_sided("t", f"n - {len(x_cols) + 1}"))
         .select("term", "coefficient", "std_error", "t", "p_value",
                 (F.col("p_value") < alpha).alias("significant"))
     )
@@ -193,12 +189,11 @@ def ols_terms(fit, x_cols, alpha=0.05):
 def ols_summary(df, fit, y, x_cols, alpha=0.05, order=None):
     """Fit table with the F test, the significant predictors and the diagnostics."""
     p = len(x_cols)
-    freedom = F.col("n") - p - 1
     t = F.transform(
         F.arrays_zip(F.col("coefficients").alias("b"), F.col("std_errors").alias("s")),
         lambda z: F.try_divide(z["b"], z["s"]))
     significant = F.array_compact(F.array(*[
-        F.when(t_two_sided(F.col("t")[i + 1], freedom) < alpha, F.lit(c))
+        F.when(t_two_sided(f"t[{i + 1}]", f"n - {p + 1}") < alpha, F.lit(c))
         for i, c in enumerate(x_cols)]))
     statistic = F.lit(None).cast("double")
     if order:
@@ -207,7 +202,7 @@ def ols_summary(df, fit, y, x_cols, alpha=0.05, order=None):
         statistic = durbin_watson(scored, "e", order).scalar()
     return (
         fit.withColumn("t", t).withColumn("significant_variables", significant)
-        .withColumn("f_p_value", f_upper(F.col("f_statistic"), F.lit(p), freedom))
+        .withColumn("f_p_value", f_upper("f_statistic", f"{p}", f"n - {p + 1}"))
         .select(
             "n", F.lit(p).alias("n_predictors"), "r_squared", "adjusted_r_squared", "rmse",
             "f_statistic", "f_p_value", (F.col("f_p_value") < alpha).alias("model_significant"),
@@ -245,7 +240,7 @@ def irr_drivers(df, target="irr", drivers=DRIVERS, alpha=0.05):
     cells = [F.struct(F.lit(c).alias("driver"), F.col(f"d{i}").alias("s"))
              for i, c in enumerate(drivers)]
     sums = row.select(F.explode(F.array(*cells)).alias("c")).select("c.driver", "c.s.*")
-    rank = F.row_number().over(Window.orderBy(F.desc("r_squared"), "driver"))
+    rank = F.row_number().over(Window.orderBy(F.round("r_squared", 12).desc(), "driver"))
     return (
         _simple_measures(sums, alpha).where(F.lit(len(drivers) >= 2))
         .select("driver", "n", "r_squared", "slope", "p_value", rank.alias("rank"))

@@ -14,16 +14,20 @@ TREND_DDL = ("slope double, intercept double, r_squared double, p_value double,
              "avg_annual_change double, std_err double")
 
 
-def slope_test(slope, sxx, syy, sxy, n):
-    """Standard error, t and two-sided p of a fitted slope.
+def with_slope_test(fits):
+    """Adds sse, std_err, t and the two-sided p_value to rows with n, slope and centred sums.
 
     A line without residual has standard error 0 and p 0.
     """
-    rest = F.greatest(syy - sxy * sxy / sxx, F.lit(0.0))
-    error = F.when(n > 2, F.sqrt(rest / (n - 2) / sxx))
-    t = F.when(error > 0, slope / error)
-    p = F.when(error == 0, F.lit(0.0)).otherwise(t_two_sided(t, n - 2))
-    return error, t, p
+    n, sxx, sxy = F.col("n"), F.col("sxx"), F.col("sxy")
+    sse = F.greatest(F.col("syy") - F.try_divide(sxy * sxy, sxx), F.lit(0.0))
+    error = F.when(n > 2, F.sqrt(F.try_divide(F.col("sse"), (n - 2) * sxx)))
+    return (
+        fits.withColumn("sse", sse).withColumn("std_err", error)
+        .withColumn("t", F.try_divide(F.col("slope"), F.col("std_err")))
+        .withColumn("p_value", F.when(F.col("std_err") == 0, 0.0)
+                    .otherwise(t_two_sided("t", "n - 2")))
+    )
 
 
 def linear_trend(df, year="issue_year", value="irr_mean", by=()):
@@ -40,10 +44,9 @@ def linear_trend(df, year="issue_year", value="irr_mean", by=()):
         F.regr_sxy(y, x).alias("sxy"),
         (F.max_by(y, x) - F.min_by(y, x)).alias("total_change"),
         (F.max(x) - F.min(x)).alias("span"),
-    ).where("n >= 3")
-    error, _, p = slope_test(*[F.col(c) for c in ("slope", "sxx", "syy", "sxy", "n")])
+    ).where("n >= 3 AND sxx > 0")
     return (
-        fit.withColumns({"std_err": error, "p_value": p})
+        with_slope_test(fit)
         .select(
             *by, "slope", "intercept", "r_squared", "p_value",
             (F.col("p_value") < 0.05).alias("is_significant"),
@@ -96,8 +99,8 @@ def volatility(df, value, group=None):
 def pooled_t(n1, mean1, var1, n2, mean2, var2):
     """Two-sample t with pooled variance, and its degrees of freedom."""
     df = n1 + n2 - 2
-    pooled = ((n1 - 1) * var1 + (n2 - 1) * var2) / df
-    return F.try_divide(mean1 - mean2, F.sqrt(pooled * (1 / n1 + 1 / n2))), df
+    pooled = F.try_divide((n1 - 1) * var1 + (n2 - 1) * var2, df)
+    return F.try_divide(mean1 - mean2, F.sqrt(F.try_divide(pooled * (n1 + n2), n1 * n2))), df
 
 
 def compare_periods(df, value, period="issue_year", period1=(2020, 2021), period2=(2023, 2024)):
@@ -116,7 +119,7 @@ def compare_periods(df, value, period="issue_year", period1=(2020, 2021), period
     change = F.col("mean2") - F.col("mean1")
     return (
         row.withColumn("t_statistic", F.when(enough, t)).withColumn("freedom", freedom)
-        .withColumn("p_value", t_two_sided(F.col("t_statistic"), F.col("freedom")))
+        .withColumn("p_value", t_two_sided("t_statistic", "freedom"))
         .select(
             "mean1", "count1", "mean2", "count2", change.alias("difference"),
             (F.try_divide(change, F.col("mean1")) * 100).alias("pct_change"),

@@ -25,7 +25,8 @@ def transform(tables, as_of_year, categories=schemas.PRODUCT_CATEGORIES, min_pre
         clean.clean_policy(tables["policy"], min_premium), as_of_year, categories)
     dividend = tables.get("dividend")
     cashflow = store(features.cashflow_annual(
-        clean.clean_premium(tables["premium"]), clean.clean_cash_value(tables["cash_value"]),
+        clean.clean_premium(tables["premium"]),
+        clean.clean_cash_value(tables["cash_value"], distinct=False),
         None if dividend is None else clean.clean_dividend(dividend)), "cashflow")
     result = {
         "policy_base": policy,

@@ -10,7 +10,7 @@ from premia.operators.returns import policy_returns
 from premia.sources import views
 from premia.storage import store
 
-_SPARK = {"s": "string", "l": "bigint", "i": "int", "b": "boolean", "t": "timestamp"}
+_SPARK = {"s": "string", "l": "bigint", "i": "int", "b": "boolean", "t": "timestamp_ntz"}
 _SQL = {"s": "VARCHAR", "l": "BIGINT", "i": "INTEGER", "b": "BOOLEAN", "t": "TIMESTAMP"}
 
 
@@ -62,7 +62,7 @@ def policy_base(spark, sf_dir):
 def cashflow(spark, sf_dir):
     return features.cashflow_annual(
         clean.clean_premium(views.premium(spark, sf_dir)),
-        clean.clean_cash_value(views.cash_value(spark, sf_dir)),
+        clean.clean_cash_value(views.cash_value(spark, sf_dir), distinct=False),
         clean.clean_dividend(views.dividend(spark, sf_dir)))
 
 
@@ -300,8 +300,11 @@ define("returns", "measures", "SELECT * EXCLUDE (paid, y, start, growth, yearly_
 
 
 def sql_beta(theta, a, b):
-    """I_x(a, b) with x = cos^2(theta), by Simpson's rule over the angle."""
-    step = f"((pi() / 2 - {theta}) / 4000)"
+    """I_x(a, b) with x = cos^2(theta), by Simpson's rule over the angle.
+
+    The integrand has vanished 16 widths 1 / sqrt(2 a) past its start or at pi / 2.
+    """
+    step = f"(least(pi() / 2 - {theta}, 16 / sqrt(2 * {a})) / 4000)"
     return (f"(2 * exp(lgamma({a} + {b}) - lgamma({a}) - lgamma({b})) * {step} / 3 * "
             f"list_sum(list_transform(range(0, 4001), lambda k: "
             f"CASE WHEN k = 0 OR k = 4000 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * "
@@ -314,5 +317,5 @@ def sql_t_p(t, df):
 
 
 def sql_f_p(f, df1, df2):
-    return sql_beta(f"atan(sqrt({df1} * {f} / ({df2})))", f"(({df2}) / 2.0)",
+    return sql_beta(f"atan(sqrt(({df1}) * {f} / ({df2})))", f"(({df2}) / 2.0)",
                     f"(({df1}) / 2.0)")

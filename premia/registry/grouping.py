@@ -65,8 +65,11 @@ QUERIES = [
     grouped("agg_by_coverage", aggregates.by_segment, ["coverage_group:s"], METRICS[:2],
             [*YEAR_STATS, "std"], "coverage_group"),
     Query("yoy_change", yoy, "issue_year:i irr_mean:6 irr_mean_yoy:4 irr_mean_yoy_abs:6", """
-      SELECT issue_year, m AS irr_mean, (m / lag(m) OVER (ORDER BY issue_year) - 1) * 100
-        AS irr_mean_yoy, m - lag(m) OVER (ORDER BY issue_year) AS irr_mean_yoy_abs
+      SELECT issue_year, m AS irr_mean, m - lag(m) OVER (ORDER BY issue_year) AS irr_mean_yoy_abs,
+        (last_value(m IGNORE NULLS) OVER (ORDER BY issue_year
+            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+          / last_value(m IGNORE NULLS) OVER (ORDER BY issue_year
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 1) * 100 AS irr_mean_yoy
       FROM (SELECT issue_year, avg(irr) AS m FROM returns GROUP BY issue_year)""", "returns"),
     Query("percentile_distribution", on_returns(aggregates.percentile_distribution),
           "product_category:s p10:6 p25:6 p50:6 p75:6 p90:6 iqr:6",

@@ -313,7 +313,7 @@ QUERIES = [
       FROM ({sql_pair('returns', 'annual_premium', 'irr')})""", "returns"),
     Query("key_drivers", on_returns(correlation.key_drivers, "irr", FEATURES),
           "feature:s n:l correlation:6 abs_correlation:6 p_value:6 significant:b rank:i", f"""
-      SELECT *, row_number() OVER (ORDER BY abs_correlation DESC, feature) AS rank
+      SELECT *, row_number() OVER (ORDER BY round(abs_correlation, 12) DESC, feature) AS rank
       FROM ({sql_drivers(FEATURES)}) QUALIFY rank <= 5""", "returns"),
     Query("driver_summary", driver_summary,
           "total_features_analyzed:l significant_features:l strong_correlations:l", f"""
@@ -344,7 +344,7 @@ QUERIES = [
             1 - (sse / syy) * (n - 1) / (n - 3) AS adjusted_r_squared, sqrt(mse) AS rmse,
             (syy - sse) / 2 / mse AS f_statistic, 0 AS residuals_mean,
             sqrt(sse / n) AS residuals_std,
-            (SELECT string_agg(term, ',' ORDER BY term DESC) FROM line_terms
+            (SELECT coalesce(string_agg(term, ',' ORDER BY term DESC), '') FROM line_terms
              WHERE significant AND term <> 'intercept') AS significant_variables,
             ({sql_durbin_watson(
                 'l_extendedprice - (SELECT b0 FROM line_model) - (SELECT b1 FROM line_model) '
@@ -359,7 +359,7 @@ QUERIES = [
       FROM lineitem, line_fit""", "line_fit"),
     Query("irr_drivers", on_returns(regression.irr_drivers),
           "driver:s n:l r_squared:6 slope:8 p_value:6 rank:i", f"""
-      SELECT *, row_number() OVER (ORDER BY r_squared DESC, driver) AS rank FROM (
+      SELECT *, row_number() OVER (ORDER BY round(r_squared, 12) DESC, driver) AS rank FROM (
         SELECT *, {sql_t_p('(slope / slope_std_error)', 'n - 2')} AS p_value FROM ({
           ' UNION ALL '.join(f"SELECT '{c}' AS driver, * FROM ({sql_simple_fit('returns', c, 'irr')})"
                              for c in DRIVERS)}))""", "returns"),
