@@ -53,3 +53,15 @@ def missing_nan(df):
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name)
         for f in df.schema.fields
     ])
+
+
+def correlation(x, y):
+    """Pearson correlation aggregate over the rows with both values.
+
+    NULL for a constant column, where the built-in ``corr`` fails in ANSI mode.
+    """
+    x, y = x.cast("double"), y.cast("double")
+    both = x.isNotNull() & y.isNotNull()
+    spread = F.sqrt(F.var_pop(F.when(both, x)) * F.var_pop(F.when(both, y)))
+    r = F.try_divide(F.covar_pop(x, y), spread)
+    return F.when(F.abs(r) > 1, F.signum(r)).otherwise(r)

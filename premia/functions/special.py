@@ -8,6 +8,8 @@ series after shifting the argument past 10.
 from pyspark.sql import functions as F
 
 _STEPS = 150
+# Past this many degrees of freedom the laws differ by less than 1e-7, rounding by more.
+_MAX_FREEDOM = "1e7"
 _HALF_LOG_TWO_PI = "0.9189385332046727D"
 
 
@@ -64,7 +66,8 @@ def _fraction(x, a, b):
 
 def _incomplete_beta(x, rest, a, b):
     """I_x(a, b), with ``rest`` = 1 - x passed in so that it keeps its digits near x = 1."""
-    front = ("exp(k.a * ln(k.x) + k.b * ln(k.rest) + "
+    front = ("exp(k.a * if(k.rest < 0.5D, log1p(-k.rest), ln(k.x)) "
+             "+ k.b * if(k.x < 0.5D, log1p(-k.x), ln(k.rest)) + "
              f"{_log_gamma_ratio('greatest(k.a, k.b)', 'least(k.a, k.b)')} - "
              f"{_log_gamma('least(k.a, k.b)')})")
     swap = "k.x >= (k.a + 1) / (k.a + k.b + 2)"
@@ -80,13 +83,14 @@ def _incomplete_beta(x, rest, a, b):
 
 def t_two_sided(t, df):
     """P(|T| >= |t|) for Student's t."""
-    return F.expr(_let("o", {"t": t, "df": df}, _incomplete_beta(
+    return F.expr(_let("o", {"t": t, "df": f"least({df}, {_MAX_FREEDOM})"}, _incomplete_beta(
         "o.df / (o.df + o.t * o.t)", "o.t * o.t / (o.df + o.t * o.t)", "o.df / 2", "0.5D")))
 
 
 def f_upper(f, df1, df2):
     """P(F >= f)."""
-    return F.expr(_let("o", {"part": f"({df1}) * {f}", "df1": df1, "df2": df2}, _incomplete_beta(
+    return F.expr(_let("o", {"part": f"({df1}) * {f}", "df1": df1,
+                             "df2": f"least({df2}, {_MAX_FREEDOM})"}, _incomplete_beta(
         "o.df2 / (o.df2 + o.part)", "o.part / (o.df2 + o.part)", "o.df2 / 2", "o.df1 / 2")))
 
 

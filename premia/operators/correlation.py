@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from premia.functions import labels
+from premia.functions.columns import correlation as pearson_r
 from premia.functions.special import t_two_sided
 from premia.operators.quantiles import quantiles, value_bucket
 from premia.schemas import numeric_columns
@@ -37,8 +38,8 @@ def _report(row, method, x, y, alpha):
 
 def pearson(df, x, y, alpha=0.05):
     """One row; empty below three rows with both values present."""
-    row = _both(df, [x, y]).agg(F.count("*").alias("n"), F.corr(
-        F.col(x).cast("double"), F.col(y).cast("double")).alias("correlation"))
+    row = _both(df, [x, y]).agg(
+        F.count("*").alias("n"), pearson_r(F.col(x), F.col(y)).alias("correlation"))
     return _report(row, "Pearson", x, y, alpha)
 
 
@@ -102,8 +103,7 @@ def correlation_matrix(df, columns=None, method="pearson", alpha=0.05):
     places = range(len(columns))
     if method == "pearson":
         row = _both(df, columns).agg(F.count("*").alias("n"), *[
-            F.corr(F.col(columns[i]).cast("double"), F.col(columns[j]).cast("double"))
-            .alias(f"c{i}_{j}") for i in places for j in places if i < j])
+            pearson_r(F.col(columns[i]), F.col(columns[j])).alias(f"c{i}_{j}") for i in places for j in places if i < j])
 
         def r(i, j):
             return F.col(f"c{min(i, j)}_{max(i, j)}")
@@ -162,7 +162,7 @@ def driver_correlations(df, target, features=None, alpha=0.05):
     row = df.agg(*[
         expr for i, c in enumerate(features) for expr in (
             F.count(F.when(F.col(c).isNotNull() & y.isNotNull(), 1)).alias(f"n{i}"),
-            F.corr(F.col(c).cast("double"), y).alias(f"r{i}"))
+            pearson_r(F.col(c), y).alias(f"r{i}"))
     ])
     cells = [F.struct(F.lit(c).alias("feature"), F.col(f"n{i}").alias("n"),
                       F.col(f"r{i}").alias("correlation")) for i, c in enumerate(features)]

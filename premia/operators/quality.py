@@ -153,7 +153,8 @@ def orphans(child, policy, table, samples=5):
     """
     parents = policy.select("policy_id").where(F.col("policy_id").isNotNull()).distinct()
     lost = child.select("policy_id").distinct().join(parents, "policy_id", "left_anti")
-    first = lost.orderBy("policy_id").limit(samples).agg(
+    named = lost.where(F.col("policy_id").isNotNull())
+    first = named.orderBy("policy_id").limit(samples).agg(
         F.sort_array(F.collect_list("policy_id")).alias("ids")).scalar()
     return lost.agg(F.count("*").alias("orphan_count")).select(
         F.lit(table).alias("table"), "orphan_count", first.alias("sample_ids"))

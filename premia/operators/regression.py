@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from premia.functions import labels
+from premia.functions.columns import correlation
 from premia.functions.special import f_upper, t_two_sided
 from premia.operators.trends import with_slope_test
 
@@ -25,7 +26,7 @@ def _simple_sums(x, y):
     return [F.regr_count(y, x).alias("n"), F.regr_avgx(y, x).alias("mean_x"),
             F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"),
             F.regr_sxx(y, x).alias("sxx"), F.regr_syy(y, x).alias("syy"),
-            F.regr_sxy(y, x).alias("sxy"), F.corr(x, y).alias("correlation")]
+            F.regr_sxy(y, x).alias("sxy"), correlation(x, y).alias("correlation")]
 
 
 def _simple_measures(sums, alpha):

@@ -71,9 +71,19 @@ def wide_and_cashflow(spark, sf_dir):
     return features.analysis_wide(policy_base(spark, sf_dir), flows), flows
 
 
+_stored_returns = {}
+
+
 def returns(spark, sf_dir):
-    """Returns of all policies, stored: the later queries read them more than once."""
-    return store(policy_returns(*wide_and_cashflow(spark, sf_dir)), "returns")
+    """Returns of all policies, stored once per application and data folder.
+
+    The analysis queries start from the output of the calculate stage, as they do in a full
+    run; ``policy_returns`` and ``full_run`` compute everything anew.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stored_returns:
+        _stored_returns[key] = store(policy_returns(*wide_and_cashflow(spark, sf_dir)), "returns")
+    return _stored_returns[key]
 
 
 # SQL side ----------------------------------------------------------------------------------

@@ -12,8 +12,15 @@ CATEGORIES = [("传统寿险", ["AUTO"]), ("分红型寿险", ["BUILD"]), ("万
 AS_OF_YEAR = 2002
 
 
+_schemas = {}
+
+
 def given(spark, sf_dir, name):
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """Scan of one given table; its schema is read from the file once."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
 
 
 def policy(spark, sf_dir):
