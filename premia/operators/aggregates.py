@@ -19,7 +19,7 @@ def describe(df, by, value_cols, stats, percentiles=(), small_rows=None):
     ``median`` and the percentiles are exact. Inputs beyond the small size are read again for
     them, see ``quantiles``. Rows whose key is NULL are left out, as in all groupings here.
     """
-    by = list(by)
+    by, whole = list(by), df
     for key in by:
         df = df.where(F.col(key).isNotNull())
     probs = ([0.5] if "median" in stats else []) + list(percentiles)
@@ -40,7 +40,7 @@ def describe(df, by, value_cols, stats, percentiles=(), small_rows=None):
         return [F.col(source(c))[i].alias(f"{c}_{name}")
                 for c in value_cols for i, name in enumerate(names)]
 
-    if is_small(df, small_rows):
+    if is_small(whole, small_rows):
         arrays = [F.percentile(F.col(c).cast("double"), F.array(*map(F.lit, probs)))
                   .alias(f"{c}__q") for c in value_cols]
         full = df.groupBy(*by).agg(*simple, *arrays)
@@ -103,7 +103,8 @@ def percentile_distribution(df, group="product_category", value="irr", small_row
     probs = [0.1, 0.25, 0.5, 0.75, 0.9]
     if value not in df.columns:
         return empty(df.sparkSession, f"{group} string")
-    found = quantiles(df.where(F.col(value).isNotNull()), [value], probs, [group], small_rows)
+    found = quantiles(df.where(F.col(value).isNotNull()), [value], probs, [group], small_rows,
+                      bound=df)
     named = found.select(group, *[F.col(value)[i].alias(f"p{round(p * 100)}")
                                   for i, p in enumerate(probs)])
     return named.withColumn("iqr", F.col("p75") - F.col("p25"))

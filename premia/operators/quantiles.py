@@ -57,8 +57,9 @@ def quantiles(df, value_cols, probs, by=(), small_rows=None, bound=None):
 
 
 def is_small(df, small_rows=None):
+    """Whether the frame has at most ``small_rows`` rows; a scan answers from its footers."""
     limit = SMALL_ROWS if small_rows is None else small_rows
-    return limit > 0 and df.limit(limit + 1).count() <= limit
+    return limit > 0 and df.count() <= limit
 
 
 def _select_ranks(df, value_cols, probs, by):

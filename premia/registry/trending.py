@@ -23,6 +23,13 @@ def moving_average(spark, sf_dir):
     return trends.moving_average(events, "value", ["ts", "event_id"], 3, ["user_id"])
 
 
+def moving_average_blocks(spark, sf_dir):
+    """By the block method that large data take, with blocks of 50 rows."""
+    events = views.given(spark, sf_dir, "events")
+    return trends.moving_average(events, "value", ["ts", "event_id"], 3, ["event_type"],
+                                 small_rows=0, block_rows=50)
+
+
 def moving_average_yearly(spark, sf_dir):
     return trends.moving_average(yearly_orders(spark, sf_dir), "mean_price", ["year"], 3)
 
@@ -106,6 +113,10 @@ QUERIES = [
     Query("moving_average", moving_average, "event_id:l user_id:l value_ma3:6", """
       SELECT event_id, user_id, avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id
         ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS value_ma3 FROM events"""),
+    Query("moving_average_blocks", moving_average_blocks,
+          "event_id:l event_type:s value_ma3:6", """
+      SELECT event_id, event_type, avg(value) OVER (PARTITION BY event_type ORDER BY ts, event_id
+        ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS value_ma3 FROM events"""),
     Query("moving_average_yearly", moving_average_yearly, "year:i mean_price:6 mean_price_ma3:6",
           f"""SELECT *, avg(mean_price) OVER (ORDER BY year ROWS BETWEEN 2 PRECEDING
           AND CURRENT ROW) AS mean_price_ma3 FROM {ORDERS_BY_YEAR}"""),

@@ -250,3 +250,18 @@ def test_moving_average_and_periods(spark):
     assert row.difference == 3 and row.t_statistic == pytest.approx(-4.242640687)
     lone = trends.compare_periods(df, "irr", period1=(2020, 2020)).first()
     assert lone.t_statistic is None and lone.is_significant is False
+
+
+def test_moving_average_in_blocks_equals_one_window(spark):
+    random = np.random.default_rng(6)
+    rows = [(["hot", "cold"][i % 10 == 0], float(random.integers(0, 50)), i,
+             None if i % 17 == 0 else float(i)) for i in range(600)]
+    df = spark.createDataFrame(rows, "g string, t double, id int, v double").repartition(5)
+    for window, block in ((1, 10), (3, 10), (7, 7), (7, 50), (9, 2)):
+        plain = trends.moving_average(df, "v", ["t", "id"], window, ["g"])
+        blocks = trends.moving_average(df, "v", ["t", "id"], window, ["g"], 0, block)
+        name = f"v_ma{window}"
+        found = {r.id: r[name] for r in blocks.collect()}
+        assert len(found) == blocks.count() == 600
+        for r in plain.collect():
+            assert found[r.id] == (None if r[name] is None else pytest.approx(r[name]))
