@@ -86,12 +86,24 @@ def filter_quantile_cutoff(df, column, prob=0.99, factor=10, bound=None):
     return df.where(F.col(column) <= cutoff * factor)
 
 
+def columns_with_gaps(df, columns):
+    """Those of the columns that hold a NULL: one row of counts from one pass."""
+    if not columns:
+        return []
+    row = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
+    return [c for c in columns if row[c]]
+
+
 def clean_policy(df, min_premium=1000, statuses=IN_FORCE_STATUSES):
-    raw, df = df, coerce_types(dedupe(df), POLICY_DATES, POLICY_AMOUNTS)
+    """Clean policy table. Only columns with gaps are imputed, so the others keep their type."""
+    raw = coerce_types(df, POLICY_DATES, POLICY_AMOUNTS)
+    gaps = columns_with_gaps(raw, numeric_columns(raw) + string_columns(raw))
+    df = coerce_types(dedupe(df), POLICY_DATES, POLICY_AMOUNTS)
     if "policy_status" in df.columns:
         df = df.withColumn("policy_status", normalise_status(F.col("policy_status")))
         df = filter_status(df, valid=statuses)
-    df = impute_strings(impute_numbers(df, bound=raw))
+    df = impute_numbers(df, [c for c in numeric_columns(df) if c in gaps], bound=raw)
+    df = impute_strings(df, [c for c in string_columns(df) if c in gaps])
     if "annual_premium" in df.columns:
         df = filter_low_premium(df, min_premium)
     if "insured_age" in df.columns:

@@ -55,12 +55,15 @@ def year_end_value(cash_value):
     stay hash aggregates, without the sort that a maximum over a struct needs. Repeated rows
     change nothing, so the input need not be distinct.
     """
-    days = _by_year(cash_value, "valuation_date").groupBy(
-        "policy_id", "year", "valuation_date").agg(F.max("cash_value").alias("cash_value"))
-    return days.groupBy("policy_id", "year").agg(
+    return _last_of_days(cash_value).groupBy("policy_id", "year").agg(
         F.max_by("cash_value", "valuation_date").alias("cash_value_eoy"))
 
 
+def _last_of_days(cash_value):
+    return _by_year(cash_value, "valuation_date").groupBy(
+        "policy_id", "year", "valuation_date").agg(F.max("cash_value").alias("cash_value"))
+
+
 def annual_dividend(dividend):
     return _by_year(dividend, "dividend_date").groupBy("policy_id", "year").agg(
         F.sum("dividend_amount").alias("dividend_amount"))
@@ -69,25 +72,34 @@ def annual_dividend(dividend):
 def cashflow_annual(premium, cash_value, dividend=None):
     """One row per policy and year: flows, carried year-end value and running totals.
 
-    Records are summed per policy and year before any join or window, so both see at most one
-    row per policy and calendar year, however many records a policy has.
+    A year is present if it has a premium or a value. Instead of a full outer and a left join
+    the records are stacked and meet in one aggregate by policy and year, combined before its
+    only shuffle. The window then sees one row per policy and calendar year, however many
+    records a policy has.
     """
-    years = annual_premium(premium).join(
-        year_end_value(cash_value), ["policy_id", "year"], "full_outer")
+    records = (
+        _by_year(premium, "payment_date")
+        .select("policy_id", "year", "premium_amount", F.lit(1).alias("present"))
+        .unionByName(_last_of_days(cash_value).select(
+            "policy_id", "year", "valuation_date", "cash_value", F.lit(1).alias("present")),
+            allowMissingColumns=True)
+    )
     if dividend is not None:
-        years = years.join(annual_dividend(dividend), ["policy_id", "year"], "left")
-        paid = F.coalesce("dividend_amount", F.lit(0.0))
+        records = records.unionByName(_by_year(dividend, "dividend_date").select(
+            "policy_id", "year", "dividend_amount"), allowMissingColumns=True)
+        paid = F.coalesce(F.sum("dividend_amount"), F.lit(0.0))
     else:
         paid = F.lit(0.0)
+    years = records.groupBy("policy_id", "year").agg(
+        F.coalesce(F.sum("premium_amount"), F.lit(0.0)).alias("premium_outflow"),
+        F.max_by("cash_value", "valuation_date").alias("cash_value_eoy"),
+        paid.alias("dividend_amount"), F.count("present").alias("present"),
+    ).where(F.col("present") > 0)
     past = (Window.partitionBy("policy_id").orderBy("year")
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     carried = F.last("cash_value_eoy", ignorenulls=True).over(past)
     return (
-        years.withColumns({
-            "premium_outflow": F.coalesce("premium_outflow", F.lit(0.0)),
-            "dividend_amount": paid,
-        })
-        .select(
+        years.select(
             "policy_id", "year", "premium_outflow",
             F.coalesce(carried, F.lit(0.0)).alias("cash_value_eoy"), "dividend_amount",
             F.sum("premium_outflow").over(past).alias("cumulative_premium"),

@@ -265,3 +265,13 @@ def test_moving_average_in_blocks_equals_one_window(spark):
         assert len(found) == blocks.count() == 600
         for r in plain.collect():
             assert found[r.id] == (None if r[name] is None else pytest.approx(r[name]))
+
+
+def test_year_with_a_dividend_alone_is_left_out(spark):
+    premium, value, dividend = tables(spark)
+    extra = spark.createDataFrame([("c", "2021-12-31", 9.0), ("b", "2020-12-31", 9.0)],
+                                  "policy_id string, dividend_date string, dividend_amount double")
+    dividend = dividend.unionByName(extra.withColumn("dividend_date", F.to_timestamp("dividend_date")))
+    years = {(r.policy_id, r.year) for r in
+             features.cashflow_annual(premium, value, dividend).collect()}
+    assert years == {("a", 2020), ("a", 2021), ("a", 2022), ("b", 2021), ("b", 2022)}
