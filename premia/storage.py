@@ -1,33 +1,41 @@
 """Where jobs keep the tables they store between stages."""
 
-import tempfile
 import uuid
 
-_local_dirs = {}
+from pyspark import StorageLevel
 
 
 def shared_dir(spark):
-    """The shared folder named by the session, else one of our own on a local master only."""
+    """The shared folder named by the session, or None where none is set."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    context = spark.sparkContext
-    if context.getCheckpointDir():
-        return context.getCheckpointDir().rstrip("/")
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    app = context.applicationId
-    if app not in _local_dirs:
-        _local_dirs[app] = tempfile.mkdtemp(prefix="premia-")
-    return _local_dirs[app]
+    folder = configured or spark.sparkContext.getCheckpointDir()
+    return folder.rstrip("/") if folder else None
+
+
+def new_path(spark, name):
+    """A path of its own in the shared folder, or None."""
+    folder = shared_dir(spark)
+    return folder and f"{folder}/premia/{name}-{uuid.uuid4().hex}"
 
 
 def store(df, name="table"):
-    """Write ``df`` to the shared folder and read it back.
+    """Fix ``df`` for several readers and return it.
 
-    Cuts lineage, keeps column pruning for later readers, and fixes the values of sums of
-    doubles so that operators that read their input twice see the same numbers both times.
+    With a shared folder (``spark.checkpoint.dir``) the table is written there as Parquet and
+    read back: this cuts lineage and survives lost executors. A local master without one
+    persists it instead, on its only machine. Any other master must name a folder.
     """
-    path = f"{shared_dir(df.sparkSession)}/premia/{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    if path is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(*tables):
+    """Free what ``store`` persisted; written tables stay until the folder is emptied."""
+    for table in tables:
+        table.unpersist()
