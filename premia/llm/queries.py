@@ -6,7 +6,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from premia.llm import mixing, secrets, token_counts
+from premia.llm import fingerprints, mixing, secrets, token_counts, topk
 from premia.storage import new_path, store
 
 
@@ -21,6 +21,10 @@ def op1_mix(spark, sf_dir):
         (F.col("size") * F.size("draws")).alias("taken"))
 
 
+def op2_fingerprints(spark, sf_dir):
+    return fingerprints.edited_fingerprints(_documents(spark, sf_dir))
+
+
 def op5_token_counts(spark, sf_dir):
     """A cache of its own for each call, so that what is timed is the counting."""
     cache = new_path(spark, "token-cache") or f"{tempfile.gettempdir()}/token-cache-{uuid.uuid4()}"
@@ -29,6 +33,12 @@ def op5_token_counts(spark, sf_dir):
         public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_topk(spark, sf_dir):
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return topk.top_k(store(topk.points(vectors), "topk-points"),
+                      store(topk.query_rows(vectors, 50), "topk-queries"))
+
+
 def op10_secrets(spark, sf_dir):
     found = secrets.secret_spans(_documents(spark, sf_dir))
     counts = [_count_kind(kind) for kind in ("assign", "access", "hex")]
@@ -40,5 +50,21 @@ def _count_kind(kind):
             .alias(f"n_{kind}"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix, op5_token_counts, op10_secrets)}
-ORACLE_SQL = {}
+QUERIES = {f.__name__: f for f in (
+    op1_mix, op2_fingerprints, op5_token_counts, op8_topk, op10_secrets)}
+
+ORACLE_SQL = {"op8_topk": """
+WITH usable AS (
+    SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+           CAST(list_sum(list_transform(list_zip(q.v, c.v), p -> p[1] * p[2])) AS BIGINT) AS score
+    FROM usable q JOIN usable c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+    WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)
+                      AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY rank <= 5
+"""}
