@@ -6,7 +6,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from premia.llm import fingerprints, mixing, secrets, token_counts, topk
+from premia.llm import fingerprints, jaccard, mixing, secrets, token_counts, topk
 from premia.storage import new_path, store
 
 
@@ -39,6 +39,10 @@ def op8_topk(spark, sf_dir):
                       store(topk.query_rows(vectors, 50), "topk-queries"))
 
 
+def op9_jaccard_join(spark, sf_dir):
+    return jaccard.classes(_documents(spark, sf_dir))
+
+
 def op10_secrets(spark, sf_dir):
     found = secrets.secret_spans(_documents(spark, sf_dir))
     counts = [_count_kind(kind) for kind in ("assign", "access", "hex")]
@@ -51,7 +55,8 @@ def _count_kind(kind):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_mix, op2_fingerprints, op5_token_counts, op8_topk, op10_secrets)}
+    op1_mix, op2_fingerprints, op5_token_counts, op8_topk, op9_jaccard_join,
+    op10_secrets)}
 
 ORACLE_SQL = {"op8_topk": """
 WITH usable AS (
