@@ -6,7 +6,9 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from premia.llm import fingerprints, jaccard, mixing, secrets, token_counts, topk
+from premia.llm import (
+    fingerprints, jaccard, mixing, pii, quality, secrets, token_counts, topk, toxicity,
+)
 from premia.storage import new_path, store
 
 
@@ -25,6 +27,12 @@ def op2_fingerprints(spark, sf_dir):
     return fingerprints.edited_fingerprints(_documents(spark, sf_dir))
 
 
+def op4_pii(spark, sf_dir):
+    docs = _documents(spark, sf_dir)
+    found = pii.personal_data(docs, pii.train(docs))
+    return found.select("doc_id", *map(_count_kind, pii.KINDS), "base_sha256", "spans")
+
+
 def op5_token_counts(spark, sf_dir):
     """A cache of its own for each call, so that what is timed is the counting."""
     cache = new_path(spark, "token-cache") or f"{tempfile.gettempdir()}/token-cache-{uuid.uuid4()}"
@@ -33,6 +41,17 @@ def op5_token_counts(spark, sf_dir):
         public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_toxicity(spark, sf_dir):
+    docs, labels = _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.severities(docs, toxicity.train(docs, labels))
+
+
+def op7_quality(spark, sf_dir):
+    docs, labels = _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = quality.quality_scores(docs, quality.train(docs, labels))
+    return scored.select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
+
+
 def op8_topk(spark, sf_dir):
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return topk.top_k(store(topk.points(vectors), "topk-points"),
@@ -45,8 +64,8 @@ def op9_jaccard_join(spark, sf_dir):
 
 def op10_secrets(spark, sf_dir):
     found = secrets.secret_spans(_documents(spark, sf_dir))
-    counts = [_count_kind(kind) for kind in ("assign", "access", "hex")]
-    return found.select("doc_id", *counts, "base_sha256", "spans")
+    return found.select("doc_id", *map(_count_kind, ("assign", "access", "hex")), "base_sha256",
+                        "spans")
 
 
 def _count_kind(kind):
@@ -55,8 +74,8 @@ def _count_kind(kind):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_mix, op2_fingerprints, op5_token_counts, op8_topk, op9_jaccard_join,
-    op10_secrets)}
+    op1_mix, op2_fingerprints, op4_pii, op5_token_counts, op6_toxicity, op7_quality, op8_topk,
+    op9_jaccard_join, op10_secrets)}
 
 ORACLE_SQL = {"op8_topk": """
 WITH usable AS (

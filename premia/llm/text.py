@@ -12,6 +12,10 @@ PIECE_BYTES = 1 << 21
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_NO_TERM = np.ones(256, bool)
+_NO_TERM[[*range(48, 58), *range(97, 123), *range(128, 256)]] = False
 _RANDOM = np.random.default_rng(20240501)
 _BYTE = _RANDOM.integers(1, 2**63, 256, np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -45,25 +49,54 @@ def joined_bytes(texts):
 
 def word_hashes(texts):
     """Hash of every word of all texts in order, and the offset of each text's words."""
+    return run_hashes(*joined_bytes(texts), _SPACE)
+
+
+def term_hashes(texts):
+    """The same for terms: longest runs of letters and digits, ASCII letters in lower case."""
     data, offsets = joined_bytes(texts)
-    inside = ~_SPACE[data]
+    return run_hashes(_LOWER[data], offsets, _NO_TERM)
+
+
+def _runs(data, outside):
+    """Starts and lengths of the longest runs of bytes not in ``outside``, which marks line feeds;
+    the value of each of their bytes, its place in its run, and where each run begins in these."""
+    inside = ~outside[data]
     before = np.zeros_like(inside)
     before[1:] = inside[:-1]
     starts = np.flatnonzero(inside & ~before)
-    if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
-    ends = np.flatnonzero(before & ~inside)
-    lengths = ends - starts
-    kept = np.flatnonzero(inside)
+    lengths = np.flatnonzero(before & ~inside) - starts
     heads = np.cumsum(lengths) - lengths
-    place = np.arange(len(kept)) - np.repeat(heads, lengths)
-    power = np.ones(int(lengths.max()), np.uint64)
+    place = np.arange(lengths.sum()) - np.repeat(heads, lengths)
+    power = np.ones(int(lengths.max(initial=1)), np.uint64)
     power[1:] = _STEP
-    power = np.cumprod(power)
-    hashes = mix(np.add.reduceat(_BYTE[data[kept]] * power[place], heads))
+    return starts, lengths, _BYTE[data[inside]] * np.cumprod(power)[place], place, heads
+
+
+def run_hashes(data, offsets, outside):
+    """Hash of every run in order, and the offset of each text's runs."""
+    starts, _, values, _, heads = _runs(data, outside)
+    hashes = mix(np.add.reduceat(values, heads)) if len(heads) else np.zeros(0, np.uint64)
     return hashes, np.searchsorted(starts, offsets)
 
 
+def prefix_hashes(texts, sizes):
+    """(text number, hash) of every term and of its first bytes, for each of ``sizes`` it has."""
+    data, offsets = joined_bytes(texts)
+    data = _LOWER[data]
+    starts, lengths, values, place, heads = _runs(data, _NO_TERM)
+    doc = np.searchsorted(offsets, starts, side="right") - 1
+    if not len(heads):
+        return doc, np.zeros(0, np.uint64)
+    docs, hashes = [doc], [mix(np.add.reduceat(values, heads))]
+    for size in sizes:
+        long = lengths >= size
+        part = np.add.reduceat(np.where(place < size, values, np.uint64(0)), heads)[long]
+        docs.append(doc[long])
+        hashes.append(mix(part + np.uint64(size)))
+    return np.concatenate(docs), np.concatenate(hashes)
+
+
 def shingle_hashes(hashes, offsets, width=WIDTH):
     """Hash of every shingle in order, repeats included, and the offset of each text's shingles."""
     words = np.diff(offsets)
