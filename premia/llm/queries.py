@@ -3,11 +3,12 @@
 import tempfile
 import uuid
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import functions as F
 
 from premia.llm import (
-    fingerprints, jaccard, mixing, pii, quality, secrets, token_counts, topk, toxicity,
+    fingerprints, jaccard, mixing, pii, quality, secrets, sentencepiece, token_counts, topk, toxicity,
 )
 from premia.storage import new_path, store
 
@@ -27,6 +28,13 @@ def op2_fingerprints(spark, sf_dir):
     return fingerprints.edited_fingerprints(_documents(spark, sf_dir))
 
 
+def op3_sentencepiece(spark, sf_dir):
+    docs, path = _documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model")
+    coded = sentencepiece.decode(sentencepiece.encode(docs, path), path)
+    return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids",
+                        F.length("decoded").cast("bigint").alias("n_decoded"))
+
+
 def op4_pii(spark, sf_dir):
     docs = _documents(spark, sf_dir)
     found = pii.personal_data(docs, pii.train(docs))
@@ -74,8 +82,8 @@ def _count_kind(kind):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_mix, op2_fingerprints, op4_pii, op5_token_counts, op6_toxicity, op7_quality, op8_topk,
-    op9_jaccard_join, op10_secrets)}
+    op1_mix, op2_fingerprints, op3_sentencepiece, op4_pii, op5_token_counts, op6_toxicity, op7_quality,
+    op8_topk, op9_jaccard_join, op10_secrets)} | {"pipeline": corpus_pipeline.run}
 
 ORACLE_SQL = {"op8_topk": """
 WITH usable AS (
