@@ -13,7 +13,7 @@ shingles of either. Texts alike are one text with a number of copies.
 4. A task returns, for each of its texts, the links it found and one edge to the least text it is
    joined with, never the pairs. Components over these edges give the classes.
 
-Shingle sets meet only for texts that share a bucket. Nulls count as empty texts; texts without
+Shingle sets are made again only for texts that share a bucket; texts are never shuffled. Nulls count as empty texts; texts without
 words have the one shingle of no words and are alike; repeated rows are copies; an empty table
 gives an empty result. ``keep_one`` keeps all columns, whatever their names.
 """
@@ -34,6 +34,7 @@ THRESHOLD = 0.8
 BANDS, ROWS, SIGNATURE, STEP = 20, 3, 64, 16
 TOLERANCE = 1e-7
 BLOCK = 512
+BITS = 1 << 23
 _TILE = 128
 _RNG = np.random.default_rng(99)
 _SPREAD = _RNG.integers(1, 2**63, SIGNATURE, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -121,13 +122,14 @@ def _members(docs, distinct, text_column):
                        F.sort_array(F.collect_list(F.struct("key", "size"))).alias("buckets")),
                    "join-placed")
     t1, t2 = digest(text_column)
-    rows = (docs.select(t1.alias("t1"), t2.alias("t2"),
-                        F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-            .join(placed.select("t1", "t2"), ["t1", "t2"], "left_semi"))
+    rows = docs.select(t1.alias("t1"), t2.alias("t2"),
+                       F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    hit = docs.sparkSession.sparkContext.broadcast(_bitmap(placed))
 
     def shingle(batches):
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            maybe = hit.value[batch.column("t1").to_numpy() % BITS]
+            for piece in pieces(batch.filter(pa.array(maybe)), "text"):
                 hashes, offsets = shingles_of(piece.column("text").to_pylist())
                 signed = signatures(hashes, offsets)
                 sets = [np.unique(hashes[a:b]).tobytes()
@@ -142,6 +144,19 @@ def _members(docs, distinct, text_column):
     return store(placed.join(sets, ["t1", "t2"]), "join-members")
 
 
+def _bitmap(placed):
+    """BITS marks, however many texts there are: which values of t1 modulo BITS are placed.
+
+    It only spares texts that share no bucket the way to the exact join.
+    """
+    place = F.pmod("t1", F.lit(BITS))
+    words = (placed.select(F.floor(place / 32).alias("word"), (place % 32).cast("int").alias("bit"))
+             .groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("marks")).toPandas())
+    marks = np.zeros(BITS // 32, np.uint32)
+    marks[words["word"].to_numpy(np.int64)] = words["marks"].to_numpy(np.int64)
+    return np.unpackbits(marks.view(np.uint8), bitorder="little").astype(bool)
+
+
 def links(docs, text_column="text", threshold=THRESHOLD):
     """(t1, t2, copies) of all texts, and (t1, t2, r1, r2, texts, docs) of those with links.
 
