@@ -36,7 +36,7 @@ SYMBOLS, EMBED, HIDDEN = 131, 12, 16
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
-_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)+")
+_DOTTED = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)++")
 _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
@@ -236,7 +236,7 @@ def decode(emissions, moves):
     return path
 
 
-def fit(windows, gold, epochs=9, batch=64, rate=0.012, seed=11):
+def fit(windows, gold, epochs, batch=64, rate=0.012, seed=11):
     """Adam on the CRF's likelihood of ``gold`` tags."""
     rng = np.random.default_rng(seed)
     net = Network.fresh(rng)
@@ -289,7 +289,7 @@ def training_windows(docs, text_column="text", most=SAMPLE):
     return [r.part for r in parts.orderBy(F.xxhash64("part"), "part").limit(most).collect()]
 
 
-def train(docs, text_column="text", most=SAMPLE, seed=7):
+def train(docs, text_column="text", most=SAMPLE, seed=7, epochs=9):
     """A network, or None where the corpus has no labelled span."""
     rng, windows, gold = np.random.default_rng(seed), [], []
     for part in training_windows(docs, text_column, most):
@@ -301,7 +301,7 @@ def train(docs, text_column="text", most=SAMPLE, seed=7):
             gold.append(np.pad(labels[start:start + WINDOW], (0, WINDOW - len(window))))
     if not windows or not np.any(gold):
         return None
-    return fit(np.array(windows), np.array(gold))
+    return fit(np.array(windows), np.array(gold), epochs)
 
 
 def _formed(kind, part):
