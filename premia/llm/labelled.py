@@ -32,6 +32,13 @@ def terms(texts, buckets):
     return keys // buckets, keys % buckets, counts
 
 
+def in_parts(texts, make, size=200):
+    """``make`` of a few texts at a time, its arrays joined; the first one counts texts."""
+    found = [make(texts[k:k + size]) for k in range(0, len(texts), size)]
+    shifted = [(doc + k * size, *rest) for k, (doc, *rest) in enumerate(found)]
+    return [np.concatenate(column) for column in zip(*shifted)]
+
+
 def score_rows(docs, score, columns, id_column="doc_id", text_column="text"):
     """mapInArrow of ``score(texts)``, which gives one array for each of ``columns`` (name, type)."""
     chosen = docs.select(F.col(id_column).alias("doc_id"),

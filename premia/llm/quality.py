@@ -20,10 +20,10 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import functions as F
 
-from premia.llm.labelled import sample, score_rows, terms
+from premia.llm.labelled import in_parts, sample, score_rows, terms
 from premia.llm.text import joined_bytes, shingle_hashes, word_hashes
 
-SAMPLE = 12_000
+SAMPLE = 6_000
 BUCKETS = 1 << 16
 FACTORS = 8
 BINS = 12
@@ -113,9 +113,9 @@ def fit(texts, good, epochs=12, rate=0.15, batch=128, decay=1e-5, seed=5):
                      np.zeros(BUCKETS + BINS * len(STATISTICS)),
                      np.zeros((BUCKETS + BINS * len(STATISTICS), FACTORS)))
     rng = np.random.default_rng(seed)
-    stats = structure(texts)
+    stats = in_parts(texts, lambda part: (np.arange(len(part)), structure(part)))[1]
     edges = np.quantile(stats, np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T
-    doc, feature, value = features(texts, edges)
+    doc, feature, value = in_parts(texts, lambda part: features(part, edges))
     starts = np.searchsorted(doc, np.arange(len(texts) + 1))
     size = BUCKETS + BINS * len(STATISTICS)
     linear, factors = np.zeros(size), rng.normal(0, 0.05, (size, FACTORS))

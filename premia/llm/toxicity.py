@@ -5,25 +5,27 @@ by the ordered thresholds t_0 < t_1; x holds terms and their beginnings (so that
 count together), each by the root of its part of all terms. The labels only tell toxic or not; the
 upper grade are the toxic texts with a larger part of tell-tale features than the median toxic one.
 Weights are fitted with AdaGrad and a soft threshold, so that terms that tell nothing weigh
-nothing, in numpy on a bounded sample (``SAMPLE`` labelled documents, the first by hash of id).
+nothing, in numpy on a bounded sample (``SAMPLE`` labelled documents, the first by hash of id). A
+fifth of the sample is kept out of the fit and sets the chance from which a text is rejected: the
+greatest that a clean text of it has, within ``REJECT``.
 
 Nulls count as empty texts; a text without known terms gets the thresholds' own grade; without
 labels of both kinds nothing is rejected; an empty table gives an empty result; repeated rows
 give repeated rows; ``keep_clean`` keeps all columns, whatever their names.
 """
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 
-from premia.llm.labelled import sample, score_rows
+from premia.llm.labelled import in_parts, sample, score_rows
 from premia.llm.text import pieces, prefix_hashes
 
-SAMPLE = 8_000
+SAMPLE = 6_000
 BUCKETS = 1 << 20
 GRADES = 3
-REJECT = 0.35
+REJECT = (0.35, 0.6)
 PREFIXES = (4, 5, 6, 7, 8, 9)
 
 
@@ -31,6 +33,10 @@ PREFIXES = (4, 5, 6, 7, 8, 9)
 class Model:
     weights: np.ndarray
     thresholds: np.ndarray
+    cut: float = REJECT[1]
+
+    def rejects(self, texts):
+        return self.at_least(texts)[:, 0] >= self.cut
 
     def at_least(self, texts):
         """P(grade >= j) for j = 1, 2, ... as columns."""
@@ -57,6 +63,11 @@ def features(texts):
     return found, keys % BUCKETS, counts / words[found]
 
 
+def _narrow(texts):
+    doc, term, part = features(texts)
+    return doc.astype(np.int32), term.astype(np.int32), part.astype(np.float32)
+
+
 def _value(part):
     return 10 * np.sqrt(part)
 
@@ -81,13 +92,12 @@ def fit(texts, toxic, epochs=40, rate=0.1, soft=1e-3, batch=256, seed=3):
     toxic = np.asarray(toxic)
     if len(np.unique(toxic)) < 2:
         return None
-    doc, term, part = features(texts)
-    y, x = grades(doc, term, part, toxic), _value(part)
-    known, column = np.unique(term, return_inverse=True)
-    frequent = np.bincount(column, minlength=len(known)) >= 4
-    kept = frequent[column]
-    doc, column, x = doc[kept], (np.cumsum(frequent) - 1)[column[kept]], x[kept]
-    known = known[frequent]
+    doc, term, part = in_parts(texts, _narrow)
+    y = grades(doc, term, part, toxic)
+    frequent = np.bincount(term, minlength=BUCKETS) >= 4
+    known, kept = np.flatnonzero(frequent), frequent[term]
+    place = np.cumsum(frequent, dtype=np.int32) - 1
+    doc, column, x = doc[kept], place[term[kept]], _value(part[kept])
     starts = np.searchsorted(doc, np.arange(len(texts) + 1))
     w, seen = np.zeros(len(known)), np.full(len(known), 1e-6)
     share = np.array([(y >= j).mean() for j in range(1, GRADES)]).clip(1e-4, 1 - 1e-4)
@@ -126,7 +136,13 @@ def _gradient(total, t, y):
 
 def train(docs, labels, most=SAMPLE, keep=None):
     rows = sample(docs, labels, "toxic", most, keep).toPandas().sort_values("doc_id")
-    return fit(rows["text"].tolist(), rows["label"].to_numpy())
+    texts, toxic = rows["text"].tolist(), rows["label"].to_numpy()
+    model = fit([t for k, t in enumerate(texts) if k % 5], toxic[np.arange(len(toxic)) % 5 > 0])
+    clean = [t for k, t in enumerate(texts) if k % 5 == 0 and not toxic[k]]
+    if model is None or not clean:
+        return model
+    top = in_parts(clean, lambda part: (np.arange(len(part)), model.at_least(part)[:, 0]))[1].max()
+    return replace(model, cut=float(np.clip(top + 0.02, *REJECT)))
 
 
 def severities(docs, model, id_column="doc_id", text_column="text"):
@@ -136,7 +152,7 @@ def severities(docs, model, id_column="doc_id", text_column="text"):
             none = np.zeros(len(texts))
             return none, none, none, none > 0
         chance = model.at_least(texts).astype(np.float64)
-        return chance[:, 0], chance[:, 1], chance.sum(axis=1), chance[:, 0] >= REJECT
+        return chance[:, 0], chance[:, 1], chance.sum(axis=1), chance[:, 0] >= model.cut
 
     return score_rows(docs, score, (("p_toxic", "double"), ("p_severe", "double"),
                                     ("severity", "double"), ("rejected", "boolean")),
@@ -151,6 +167,6 @@ def keep_clean(docs, model, text_column="text"):
         for batch in batches:
             for piece in pieces(batch, at):
                 texts = [t or "" for t in piece.column(at).to_pylist()]
-                yield piece.filter(pa.array(model.at_least(texts)[:, 0] < REJECT))
+                yield piece.filter(pa.array(~model.rejects(texts)))
 
     return docs if model is None else docs.mapInArrow(keep, docs.schema)
