@@ -10,23 +10,33 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+_CELLS = 4_000_000
+
 
 def _nearest_zero_rates(flows):
     """IRR of each row of a matrix whose first and last columns hold no zero.
 
     The rates are the positive real roots g = 1 + r of the polynomial with the flows as
-    coefficients: the real eigenvalues of its companion matrix. Of several roots the one
-    with the smallest |r| counts.
+    coefficients: the real eigenvalues of its companion matrix. Where the curve only touches
+    zero the eigenvalues come as a pair a rounding error off the real line; such a root counts
+    if the value there is zero but for rounding. Of several roots the one with the smallest |r|
+    counts. Matrices are made for a part of the rows at a time.
     """
     rows, periods = flows.shape
     if periods < 2:
         return np.full(rows, np.nan)
+    most = max(1, _CELLS // periods**2)
+    if rows > most:
+        return np.concatenate([_nearest_zero_rates(flows[k:k + most])
+                               for k in range(0, rows, most)])
     companion = np.zeros((rows, periods - 1, periods - 1))
     companion[:, 0, :] = -flows[:, 1:] / flows[:, :1]
     below = np.arange(periods - 2)
     companion[:, below + 1, below] = 1.0
     growth = np.linalg.eigvals(companion)
-    usable = (np.imag(growth) == 0) & (np.real(growth) > 0)
+    real = np.real(growth)
+    near = np.abs(np.imag(growth)) <= 1e-6 * np.abs(growth)
+    usable = (real > 0) & near & ((np.imag(growth) == 0) | _touches_zero(flows, real))
     distance = np.where(usable, np.abs(np.real(growth) - 1), np.inf)
     best = distance.argmin(axis=1)
     root = np.where(usable.any(axis=1), np.real(growth)[np.arange(rows), best], np.nan)
@@ -40,6 +50,15 @@ def _nearest_zero_rates(flows):
     return root - 1
 
 
+def _touches_zero(flows, growth):
+    """Whether the value at each growth is zero next to the sum of its terms' sizes."""
+    value, size = np.zeros_like(growth), np.zeros_like(growth)
+    for column in flows.T:
+        value = value * growth + column[:, None]
+        size = size * np.abs(growth) + np.abs(column)[:, None]
+    return np.abs(value) <= 1e-11 * size
+
+
 @F.pandas_udf(T.DoubleType())
 def irr(flows: pd.Series) -> pd.Series:
     """Internal rate of return of evenly spaced flows; NULL without both signs."""

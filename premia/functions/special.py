@@ -1,15 +1,17 @@
 """Tail probabilities as expressions on aggregated rows.
 
 The arguments are SQL expressions over the row's columns. The regularised incomplete beta
-function is a continued fraction by the modified Lentz method, with log-gamma from Stirling's
-series after shifting the argument past 10.
+function is a continued fraction by the modified Lentz method, its number of steps following
+the size of the arguments, with log-gamma from Stirling's series after shifting the argument past 10.
 """
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
-_STEPS = 150
-# Past this many degrees of freedom the laws differ by less than 1e-7, rounding by more.
-_MAX_FREEDOM = "1e7"
+# With more than this many degrees of freedom for each of the numerator's, the law differs from
+# its limit by less than 1e-7, and rounding in the fraction by more.
+_MOST_RATIO = "1e7"
 _HALF_LOG_TWO_PI = "0.9189385332046727D"
 
 
@@ -58,9 +60,10 @@ def _fraction(x, a, b):
     second = _let("w", {"odd": "u.odd", "c": "u.c", "d": "u.d", "h": "u.h * u.c * u.d"}, last)
     first = _let("u", {"odd": "e.odd", "h": "e.h", **pair("e", "e.even")}, second)
     step = _let("e", {"even": even, "odd": odd, "c": "s.c", "d": "s.d", "h": "s.h"}, first)
+    steps = f"coalesce(try_cast(150 + 4 * sqrt(least({a}, {b})) AS INT), 150)"
     start = f"1 / {_nonzero(f'(1 - ({a} + {b}) * {x} / ({a} + 1))')}"
     return _let("i", {"d": start}, (
-        f"aggregate(cast(sequence(1, {_STEPS}) AS array<double>), "
+        f"aggregate(cast(sequence(1, {steps}) AS array<double>), "
         f"named_struct('c', 1D, 'd', i.d, 'h', i.d), (s, m) -> {step}, s -> s.h)"))
 
 
@@ -83,16 +86,51 @@ def _incomplete_beta(x, rest, a, b):
 
 def t_two_sided(t, df):
     """P(|T| >= |t|) for Student's t."""
-    return F.expr(_let("o", {"t": t, "df": f"least({df}, {_MAX_FREEDOM})"}, _incomplete_beta(
+    return F.expr(_let("o", {"t": t, "df": f"least({df}, {_MOST_RATIO})"}, _incomplete_beta(
         "o.df / (o.df + o.t * o.t)", "o.t * o.t / (o.df + o.t * o.t)", "o.df / 2", "0.5D")))
 
 
 def f_upper(f, df1, df2):
     """P(F >= f)."""
     return F.expr(_let("o", {"part": f"({df1}) * {f}", "df1": df1,
-                             "df2": f"least({df2}, {_MAX_FREEDOM})"}, _incomplete_beta(
+                             "df2": f"least({df2}, {_MOST_RATIO} * ({df1}))"}, _incomplete_beta(
         "o.df2 / (o.df2 + o.part)", "o.part / (o.df2 + o.part)", "o.df2 / 2", "o.df1 / 2")))
 
 
 def chi2_upper_2df(x):
     return F.exp(-F.expr(x) / 2)
+
+
+def normal_upper(z):
+    """P(Z >= z) for the standard normal law, as the limit of Student's, to 1e-7."""
+    half = 0.5 * t_two_sided(z, "1e7")
+    return F.when(F.expr(f"{z} >= 0"), half).when(F.expr(f"{z} < 0"), 1 - half)
+
+
+# Acklam's published coefficients, highest power first.
+_MIDDLE = ((-3.969683028665376e+01, 2.209460984245205e+02, -2.759285104469687e+02,
+            1.383577518672690e+02, -3.066479806614716e+01, 2.506628277459239e+00),
+           (-5.447609879822406e+01, 1.615858368580409e+02, -1.556989798598866e+02,
+            6.680131188771972e+01, -1.328068155288572e+01, 1.0))
+_TAIL = ((-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e+00,
+          -2.549732539343734e+00, 4.374664141464968e+00, 2.938163982698783e+00),
+         (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e+00,
+          3.754408661907416e+00, 1.0))
+
+
+def _ratio(x, coefficients):
+    above, below = (reduce(lambda sum_, c: sum_ * x + c, rest, F.lit(first))
+                    for first, *rest in coefficients)
+    return above / below
+
+
+def normal_quantile(p):
+    """Inverse of the standard normal law, to about nine digits."""
+    def tail(q):
+        return _ratio(F.sqrt(-2 * F.log(q)), _TAIL)
+
+    def value(p):
+        d = p - 0.5
+        return (F.when(p < 0.02425, tail(p)).when(p > 1 - 0.02425, -tail(1 - p))
+                .otherwise(d * _ratio(d * d, _MIDDLE)))
+    return F.element_at(F.transform(F.array(p), value), 1)

@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from premia.operators.quantiles import is_small, quantiles
+from premia.operators.quantiles import quantiles
 from premia.schemas import DEFAULT_PERCENTILES, empty
 
 METRICS = ["irr", "annual_return_rate", "total_return_rate"]
@@ -13,13 +13,13 @@ _SIMPLE = {
 }
 
 
-def describe(df, by, value_cols, stats, percentiles=(), small_rows=None):
+def describe(df, by, value_cols, stats, percentiles=()):
     """``by`` plus {col}_{stat} for each column; percentiles are named {col}_p{100 p}.
 
-    ``median`` and the percentiles are exact. Inputs beyond the small size are read again for
-    them, see ``quantiles``. Rows whose key is NULL are left out, as in all groupings here.
+    ``median`` and the percentiles are exact and read the input again. Rows whose key is NULL
+    are left out, as in all groupings here.
     """
-    by, whole = list(by), df
+    by = list(by)
     for key in by:
         df = df.where(F.col(key).isNotNull())
     probs = ([0.5] if "median" in stats else []) + list(percentiles)
@@ -36,18 +36,8 @@ def describe(df, by, value_cols, stats, percentiles=(), small_rows=None):
     if not probs:
         return df.groupBy(*by).agg(*simple).select(*final)
 
-    def spread(source):
-        return [F.col(source(c))[i].alias(f"{c}_{name}")
-                for c in value_cols for i, name in enumerate(names)]
-
-    if is_small(whole, small_rows):
-        arrays = [F.percentile(F.col(c).cast("double"), F.array(*map(F.lit, probs)))
-                  .alias(f"{c}__q") for c in value_cols]
-        full = df.groupBy(*by).agg(*simple, *arrays)
-        kept = [c for c in full.columns if not c.endswith("__q")]
-        return full.select(*kept, *spread(lambda c: f"{c}__q")).select(*final)
-    found = quantiles(df, value_cols, probs, by, small_rows=0).select(
-        *by, *spread(lambda c: c))
+    found = quantiles(df, value_cols, probs, by).select(*by, *[
+        F.col(c)[i].alias(f"{c}_{name}") for c in value_cols for i, name in enumerate(names)])
     main = df.groupBy(*by).agg(*simple)
     if by:
         return main.join(found, by, "left").select(*final)
@@ -55,31 +45,31 @@ def describe(df, by, value_cols, stats, percentiles=(), small_rows=None):
     return main.select("*", *[row[c].alias(c) for c in found.columns]).select(*final)
 
 
-def _aggregate(df, by, value_cols, default, stats, percentiles=(), small_rows=None):
+def _aggregate(df, by, value_cols, default, stats, percentiles=()):
     wanted = [c for c in (value_cols or default) if c in df.columns]
     if not wanted or any(key not in df.columns for key in by):
         return empty(df.sparkSession, ", ".join(f"{key} string" for key in by))
-    return describe(df, by, wanted, stats, percentiles, small_rows)
+    return describe(df, by, wanted, stats, percentiles)
 
 
-def by_product(df, value_cols=None, percentiles=DEFAULT_PERCENTILES, small_rows=None):
+def by_product(df, value_cols=None, percentiles=DEFAULT_PERCENTILES):
     return _aggregate(df, ["product_category"], value_cols, METRICS,
-                      ["count", "mean", "median", "std", "min", "max"], percentiles, small_rows)
+                      ["count", "mean", "median", "std", "min", "max"], percentiles)
 
 
-def by_year(df, value_cols=None, small_rows=None):
+def by_year(df, value_cols=None):
     return _aggregate(df, ["issue_year"], value_cols, METRICS[:2],
-                      ["count", "mean", "median"], small_rows=small_rows)
+                      ["count", "mean", "median"])
 
 
-def by_category_year(df, value_cols=None, small_rows=None):
+def by_category_year(df, value_cols=None):
     return _aggregate(df, ["product_category", "issue_year"], value_cols, METRICS[:2],
-                      ["count", "mean", "median"], small_rows=small_rows)
+                      ["count", "mean", "median"])
 
 
-def by_segment(df, segment="age_group", value_cols=None, small_rows=None):
+def by_segment(df, segment="age_group", value_cols=None):
     return _aggregate(df, [segment], value_cols, METRICS[:2],
-                      ["count", "mean", "median", "std"], small_rows=small_rows)
+                      ["count", "mean", "median", "std"])
 
 
 def yoy_change(yearly, year="issue_year", value="irr_mean"):
@@ -99,12 +89,11 @@ def yoy_change(yearly, year="issue_year", value="irr_mean"):
     })
 
 
-def percentile_distribution(df, group="product_category", value="irr", small_rows=None):
+def percentile_distribution(df, group="product_category", value="irr"):
     probs = [0.1, 0.25, 0.5, 0.75, 0.9]
     if value not in df.columns:
         return empty(df.sparkSession, f"{group} string")
-    found = quantiles(df.where(F.col(value).isNotNull()), [value], probs, [group], small_rows,
-                      bound=df)
+    found = quantiles(df.where(F.col(value).isNotNull()), [value], probs, [group])
     named = found.select(group, *[F.col(value)[i].alias(f"p{round(p * 100)}")
                                   for i, p in enumerate(probs)])
     return named.withColumn("iqr", F.col("p75") - F.col("p25"))
@@ -125,7 +114,7 @@ def top_performers(df, metric="irr", n=10, group="product_category", key="policy
             .where(F.col("place") <= n).drop("place"))
 
 
-def summary_statistics(df, metrics=METRICS, small_rows=None):
+def summary_statistics(df, metrics=METRICS):
     """One row: policy count, first and last issue year, and the metric statistics."""
     metrics = [c for c in metrics if c in df.columns]
     year = F.col("issue_year") if "issue_year" in df.columns else F.lit(None).cast("int")
@@ -133,8 +122,7 @@ def summary_statistics(df, metrics=METRICS, small_rows=None):
                   F.max(year).alias("end_year"))
     if not metrics:
         return base
-    stats = describe(df, [], metrics, ["mean", "median", "std", "min", "max"],
-                     small_rows=small_rows)
+    stats = describe(df, [], metrics, ["mean", "median", "std", "min", "max"])
     row = stats.select(F.struct("*")).scalar()
     return base.select("*", *[row[c].alias(c) for c in stats.columns])
 

@@ -27,7 +27,7 @@ def filter_status(df, column="policy_status", valid=IN_FORCE_STATUSES):
     return df.where(F.col(column).isin(*valid))
 
 
-def impute_numbers(df, columns=None, bound=None):
+def impute_numbers(df, columns=None):
     """Missing numbers: 0 in columns named like a value or an amount, else the median.
 
     Columns filled with a median become doubles.
@@ -37,7 +37,7 @@ def impute_numbers(df, columns=None, bound=None):
     rest = [c for c in columns if c not in zero]
     filled = {c: F.coalesce(F.col(c), F.lit(0).cast(df.schema[c].dataType)) for c in zero}
     if rest:
-        found = quantiles(df, rest, [0.5], bound=bound)
+        found = quantiles(df, rest, [0.5])
         row = found.select(F.struct(*[F.col(c)[0].alias(c) for c in rest])).scalar()
         filled |= {c: F.coalesce(F.col(c).cast("double"), row[c]) for c in rest}
     return df.withColumns(filled)
@@ -80,9 +80,9 @@ def filter_positive(df, column):
     return df.where(F.col(column) > 0)
 
 
-def filter_quantile_cutoff(df, column, prob=0.99, factor=10, bound=None):
+def filter_quantile_cutoff(df, column, prob=0.99, factor=10):
     """Keep rows at most ``factor`` times the exact quantile."""
-    cutoff = quantiles(df, [column], [prob], bound=bound).select(F.col(column)[0]).scalar()
+    cutoff = quantiles(df, [column], [prob]).select(F.col(column)[0]).scalar()
     return df.where(F.col(column) <= cutoff * factor)
 
 
@@ -95,14 +95,18 @@ def columns_with_gaps(df, columns):
 
 
 def clean_policy(df, min_premium=1000, statuses=IN_FORCE_STATUSES):
-    """Clean policy table. Only columns with gaps are imputed, so the others keep their type."""
+    """Clean policy table. Every column keeps its type: a median that fills gaps of an integer
+    column is rounded. Medians are only sought for columns with gaps."""
     raw = coerce_types(df, POLICY_DATES, POLICY_AMOUNTS)
     gaps = columns_with_gaps(raw, numeric_columns(raw) + string_columns(raw))
     df = coerce_types(dedupe(df), POLICY_DATES, POLICY_AMOUNTS)
     if "policy_status" in df.columns:
         df = df.withColumn("policy_status", normalise_status(F.col("policy_status")))
         df = filter_status(df, valid=statuses)
-    df = impute_numbers(df, [c for c in numeric_columns(df) if c in gaps], bound=raw)
+    kinds = {c: df.schema[c].dataType for c in numeric_columns(df) if c in gaps}
+    df = impute_numbers(df, list(kinds))
+    df = df.withColumns({c: F.round(F.col(c)).cast(kind) for c, kind in kinds.items()
+                         if isinstance(kind, T.IntegralType)})
     df = impute_strings(df, [c for c in string_columns(df) if c in gaps])
     if "annual_premium" in df.columns:
         df = filter_low_premium(df, min_premium)
@@ -127,7 +131,7 @@ def clean_premium(df, prob=0.99, factor=10):
     if "premium_amount" not in df.columns:
         return df
     return filter_quantile_cutoff(filter_positive(df, "premium_amount"),
-                                  "premium_amount", prob, factor, bound=raw)
+                                  "premium_amount", prob, factor)
 
 
 def clean_dividend(df):
@@ -153,7 +157,7 @@ def cleaning_audit(df, min_premium=1000, statuses=IN_FORCE_STATUSES):
     counts += [F.count_if(kept & F.col(c).isNull()).alias(f"missing {c}")
                for c in numbers + texts]
     if "annual_premium" in numbers:
-        median = quantiles(unique.where(kept), ["annual_premium"], [0.5], bound=df)
+        median = quantiles(unique.where(kept), ["annual_premium"], [0.5])
         filled = F.coalesce(F.col("annual_premium"),
                             median.select(F.col("annual_premium")[0]).scalar())
         unique = unique.withColumn("low_premium", kept & (filled < min_premium))

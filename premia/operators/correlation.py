@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from premia.functions import labels
 from premia.functions.columns import correlation as pearson_r
 from premia.functions.special import t_two_sided
-from premia.operators.quantiles import quantiles, value_bucket
+from premia.operators.ordering import rows_before
+from premia.operators.quantiles import quantiles
 from premia.schemas import numeric_columns
 
 QUARTILE_LABELS = ["低", "中低", "中高", "高"]  # fixed values
@@ -46,21 +47,12 @@ def pearson(df, x, y, alpha=0.05):
 def average_ranks(df, column):
     """(v, r): every distinct value with its rank, ties sharing their mean rank.
 
-    Equal values are counted first. A running sum over value buckets, whose number has a bound
-    that does not depend on the data, gives each bucket its offset, and the ranks inside a bucket are a
-    window over that bucket alone.
+    Equal values are counted first, so the order to run over has one row per value.
     """
-    counts = (
-        df.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull())
-        .groupBy("v").agg(F.count("*").alias("rows"))
-        .withColumn("bucket", value_bucket(F.col("v")))
-    )
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.groupBy("bucket").agg(F.sum("rows").alias("rows")).select(
-        "bucket", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("below"))
-    upto = F.sum("rows").over(Window.partitionBy("bucket").orderBy("v"))
-    return counts.join(offsets, "bucket").select(
-        "v", (F.col("below") + upto - (F.col("rows") - 1) / F.lit(2.0)).alias("r"))
+    counts = (df.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull())
+              .groupBy("v").agg(F.count("*").alias("rows")))
+    return rows_before(counts, ["v"], weight="rows").select(
+        "v", (F.col("below") + (F.col("rows") + 1) / F.lit(2.0)).alias("r"))
 
 
 def _rank_products(df, columns):
@@ -124,13 +116,13 @@ def correlation_matrix(df, columns=None, method="pearson", alpha=0.05):
     )
 
 
-def quartile_table(df, premium="annual_premium", value="irr", small_rows=None):
+def quartile_table(df, premium="annual_premium", value="irr"):
     """Mean, deviation and count of a value per premium quartile.
 
     Bins are closed on the right and the lowest edge belongs to the first. Equal edges merge
     their bins; bins are labelled in order.
     """
-    edges = quantiles(df, [premium], [0, 0.25, 0.5, 0.75, 1], small_rows=small_rows).select(
+    edges = quantiles(df, [premium], [0, 0.25, 0.5, 0.75, 1]).select(
         F.array_distinct(F.col(premium))).scalar()
     present = df.where(F.col(premium).isNotNull()).withColumn("edges", edges)
     inner = F.slice("edges", 2, F.greatest(F.size("edges") - 2, F.lit(0)))

@@ -1,15 +1,14 @@
 """Group comparison and normality tests; every test is one grouped aggregate plus formulas."""
 
-from statistics import NormalDist
-
-import numpy as np
-import pandas as pd
 from pyspark.ml.stat import KolmogorovSmirnovTest
 from pyspark.sql import functions as F
 
 from premia.functions import labels
-from premia.functions.special import chi2_upper_2df, f_upper, t_two_sided
+from premia.functions.special import (
+    chi2_upper_2df, f_upper, normal_quantile, normal_upper, t_two_sided,
+)
 from premia.operators.aggregates import describe
+from premia.operators.ordering import rows_before
 from premia.operators.trends import pooled_t
 
 NORMALITY_DDL = "test_type string, n long, statistic double, p_value double"
@@ -96,13 +95,13 @@ def anova_groups(df, value, group):
         group, "n", "mean", F.sqrt("var").alias("std"))
 
 
-def normality_test(df, value, kind="shapiro", alpha=0.05, key=None):
+def normality_test(df, value, kind="shapiro", alpha=0.05):
     """One row (test_type, n, statistic, p_value, is_normal, conclusion); empty below 3 values.
 
-    ``key`` names the column that identifies a row, needed to sample for ``shapiro``.
+    ``shapiro`` is the Shapiro-Francia form, which is defined for any number of values.
     """
     values = df.where(F.col(value).isNotNull())
-    test = {"shapiro": lambda: _shapiro(values, value, key),
+    test = {"shapiro": lambda: _shapiro(values, value),
             "kstest": lambda: _kolmogorov_smirnov(values, value)}.get(
                 kind, lambda: _dagostino(values, value))
     return test().where("n >= 3").select(
@@ -155,67 +154,34 @@ def _kolmogorov_smirnov(values, value):
         "statistic", F.col("pValue").alias("p_value"))
 
 
-SHAPIRO_ROWS = 5000  # the test is defined up to this size; larger data are sampled
-
-
-def _shapiro(values, value, key, seed=42):
-    """Shapiro-Wilk on all values, or on a seeded sample of 5000 of them."""
-    identity = [key] if key else values.columns
-    order = [F.xxhash64(F.lit(seed), *identity), *map(F.col, identity)]
-    sample = values.orderBy(*order).limit(SHAPIRO_ROWS).select(
-        F.col(value).cast("double").alias("v"))
-
-    def run(batches):
-        data = pd.concat(batches)["v"].to_numpy()
-        if len(data) >= 3:
-            w, p = shapiro_wilk(np.sort(data))
-            yield pd.DataFrame({"test_type": ["Shapiro-Wilk检验"], "n": [len(data)],
-                                "statistic": [w], "p_value": [p]})
-
-    return sample.coalesce(1).mapInPandas(run, NORMALITY_DDL)
+def _shapiro(values, value):
+    """Shapiro-Francia: squared correlation of all values with the normal scores of their ranks.
 
-
-def shapiro_wilk(x):
-    """W and p of sorted values, with the weights and p-value fit of Royston (1995)."""
-    n, normal = len(x), NormalDist()
-    spread = ((x - x.mean()) ** 2).sum()
-    if spread == 0:
-        return 1.0, 1.0
-    m = np.array([normal.inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
-    size, u = (m ** 2).sum(), 1 / np.sqrt(n)
-    a = np.empty(n)
-    if n == 3:
-        a[:] = [-np.sqrt(0.5), 0, np.sqrt(0.5)]
-    else:
-        # published polynomial coefficients, highest power first
-        last = m[-1] / np.sqrt(size) + np.polyval(
-            [-2.706056, 4.434685, -2.071190, -0.147981, 0.221157, 0], u)
-        if n > 5:
-            next_last = m[-2] / np.sqrt(size) + np.polyval(
-                [-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, 0], u)
-            rest = (size - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (
-                1 - 2 * last ** 2 - 2 * next_last ** 2)
-            a = m / np.sqrt(rest)
-            a[[0, 1, -2, -1]] = -last, -next_last, next_last, last
-        else:
-            rest = (size - 2 * m[-1] ** 2) / (1 - 2 * last ** 2)
-            a = m / np.sqrt(rest)
-            a[[0, -1]] = -last, last
-    w = min((a @ x) ** 2 / spread, 1.0)
-    if n == 3:
-        return w, max(6 / np.pi * (np.arcsin(np.sqrt(w)) - np.arcsin(np.sqrt(0.75))), 0.0)
-    y = np.log1p(-w) if w < 1 else -np.inf
-    if n <= 11:
-        gamma = -2.273 + 0.459 * n
-        if y >= gamma:
-            return w, 0.0
-        y = -np.log(gamma - y)
-        mean = np.polyval([-0.0006714, 0.025054, -0.39978, 0.5440], n)
-        std = np.exp(np.polyval([-0.0020322, 0.062767, -0.77857, 1.3822], n))
-    else:
-        mean = np.polyval([0.0038915, -0.083751, -0.31082, -1.5861], np.log(n))
-        std = np.exp(np.polyval([0.0030302, -0.082676, -0.4803], np.log(n)))
-    return w, 1 - normal.cdf((y - mean) / std)
+    Equal values share the score of their mean rank. p by Royston (1993).
+    """
+    counts = (values.groupBy(F.col(value).cast("double").alias("v"))
+              .agg(F.count("*").alias("rows")))
+    ranked = rows_before(counts, ["v"], weight="rows")
+    share = (F.col("below") + (F.col("rows") + 1) / 2 - 0.375) / (F.col("n") + 0.25)
+    x = ranked.select("v", "rows", "n", normal_quantile(share).alias("m"))
+    w = F.col("rows").cast("double")
+    total = lambda c: F.sum(w * c)
+    v, m = F.col("v"), F.col("m")
+    means = x.agg((total(v) / F.sum(w)).alias("v"), (total(m) / F.sum(w)).alias("m"))
+    middle = means.select(F.struct("v", "m")).scalar()
+    dv, dm = v - middle["v"], m - middle["m"]
+    row = x.agg(F.max("n").alias("n"), total(dv * dm).alias("vm"), total(dv * dv).alias("vv"),
+                total(dm * dm).alias("mm"))
+    # published constants
+    log_n = F.log(F.col("n"))
+    mean = -1.2725 + 1.0521 * (F.log(log_n) - log_n)
+    spread = 1.0308 - 0.26758 * (F.log(log_n) + 2 / log_n)
+    z = (F.log(1 - F.col("statistic")) - mean) / spread
+    return row.withColumn("statistic", F.coalesce(F.try_divide(
+        F.col("vm") * F.col("vm"), F.col("vv") * F.col("mm")), F.lit(1.0))).withColumn(
+        "z", F.when(F.col("statistic") < 1, z)).select(
+        F.lit("Shapiro-Francia检验").alias("test_type"), "n", "statistic",
+        F.coalesce(normal_upper("z"), F.lit(1.0)).alias("p_value"))
 
 
 def compare_by_category(df, value="irr", group="product_category", alpha=0.05):

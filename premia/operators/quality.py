@@ -120,7 +120,7 @@ def consistency(df, table="policy"):
     return reduce(lambda a, b: a.unionByName(b), parts) if parts else None
 
 
-def iqr_outliers(df, table, factor=1.5, min_values=10, columns=None, small_rows=None):
+def iqr_outliers(df, table, factor=1.5, min_values=10, columns=None):
     """Values outside the quartile fences, per numeric column; zero counts left out.
 
     The fences are one row per column of the table, so they are broadcast.
@@ -128,7 +128,7 @@ def iqr_outliers(df, table, factor=1.5, min_values=10, columns=None, small_rows=
     columns = numeric_columns(df) if columns is None else columns
     if not columns:
         return None
-    quartiles = quantiles(df, columns, [0.25, 0.75], small_rows=small_rows)
+    quartiles = quantiles(df, columns, [0.25, 0.75])
     pairs = [F.struct(F.lit(c).alias("name"), F.col(c)[0].alias("q1"), F.col(c)[1].alias("q3"))
              for c in columns]
     reach = factor * (F.col("q3") - F.col("q1"))

@@ -1,30 +1,13 @@
 """Exact quantiles, linear interpolation, with no group held in one task.
 
-Up to ``SMALL_ROWS`` input rows the built-in exact ``percentile`` is used: its value counts
-are then bounded by that size. Beyond it, two passes select the wanted ranks:
-
-1. count rows per fine logarithmic bucket of the value (a bounded number of buckets per group,
-   combined on the map side) and find the bucket of every wanted rank by a running sum;
-2. read only the rows of those buckets, count equal values, and pick the ranks among them.
-
-The input is read twice, so it must be a scan or a stored table.
+Equal values are counted first, combined on the map side; each distinct value then gets the
+number of rows below it, and the wanted ranks are picked. NaN is the largest value. A group
+whose values are all missing has NULL quantiles.
 """
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from premia.storage import store
-
-SMALL_ROWS = 1_000_000
-BROADCAST_ROWS = 100_000
-_PER_OCTAVE = 8192
-
-
-def value_bucket(col):
-    """Integer that never decreases with the value; 1/8192 octave wide."""
-    octave = lambda c: F.floor(F.log2(c) * _PER_OCTAVE) + 1100 * _PER_OCTAVE
-    return (F.when(col > 0, octave(col)).when(col < 0, -octave(-col)).otherwise(F.lit(0))
-            .cast("long"))
+from premia.operators.ordering import rows_before
 
 
 def long_values(df, value_cols, by=()):
@@ -38,72 +21,31 @@ def long_values(df, value_cols, by=()):
     return rows.select(*by, "pair.name", "pair.v").where(keep)
 
 
-def quantiles(df, value_cols, probs, by=(), small_rows=None, bound=None):
-    """``by`` columns plus, per value column, the array of its quantiles under its own name.
-
-    ``bound`` may name a cheaper frame with at least as many rows, such as the scan behind
-    ``df``, to measure the size on.
-    """
+def quantiles(df, value_cols, probs, by=()):
+    """``by`` columns plus, per value column, the array of its quantiles under its own name."""
     by, probs = list(by), [float(p) for p in probs]
-    if is_small(df if bound is None else bound, small_rows):
-        present = df
-        for key in by:
-            present = present.where(F.col(key).isNotNull())
-        return present.groupBy(*by).agg(*[
-            F.percentile(F.col(c).cast("double"), F.array(*map(F.lit, probs))).alias(c)
-            for c in value_cols
-        ])
-    return _select_ranks(df, list(value_cols), probs, by)
-
-
-def is_small(df, small_rows=None):
-    """Whether the frame has at most ``small_rows`` rows; a scan answers from its footers."""
-    limit = SMALL_ROWS if small_rows is None else small_rows
-    return limit > 0 and df.count() <= limit
-
-
-def _select_ranks(df, value_cols, probs, by):
-    values = long_values(df, value_cols, by).withColumn("bucket", value_bucket(F.col("v")))
     group = [*by, "name"]
-    counts = values.groupBy(*group, "bucket").agg(F.count("*").alias("rows"))
-    placed = (
-        counts
-        .withColumn("upto", F.sum("rows").over(Window.partitionBy(*group).orderBy("bucket")))
-        .withColumn("n", F.sum("rows").over(Window.partitionBy(*group)))
-        .withColumn("below", F.col("upto") - F.col("rows"))
-    )
-    wanted = [rank for p in probs for rank in _ranks(p)]
-    hit = F.lit(False)
-    for rank in wanted:
-        hit = hit | ((rank >= F.col("below")) & (rank < F.col("upto")))
-    targets = store(placed.where(hit).select(*group, "bucket", "below", "n"), "rank-buckets")
-    if targets.count() <= BROADCAST_ROWS:
-        targets = F.broadcast(targets)
-    equal = (
-        values.join(targets, [*group, "bucket"])
-        .groupBy(*group, "bucket", "below", "n", "v").agg(F.count("*").alias("rows"))
-    )
-    inside = Window.partitionBy(*group, "bucket").orderBy("v")
-    ranked = (
-        equal
-        .withColumn("upto", F.col("below") + F.sum("rows").over(inside))
-        .withColumn("below", F.col("upto") - F.col("rows"))
-    )
-    picks, n = [], F.max("n").alias("n")
+    counts = (long_values(df, value_cols, by).groupBy(*group, "v")
+              .agg(F.count("*").alias("rows")))
+    ranked = rows_before(counts, ["v"], group, "rows")
+    picks = []
     for j, p in enumerate(probs):
         for side, rank in zip("lh", _ranks(p)):
-            here = (rank >= F.col("below")) & (rank < F.col("upto"))
+            here = (rank >= F.col("below")) & (rank < F.col("below") + F.col("rows"))
             picks.append(F.max(F.when(here, F.col("v"))).alias(f"{side}{j}"))
-    found = ranked.groupBy(*group).agg(n, *picks)
+    found = ranked.groupBy(*group).agg(F.max("n").alias("n"), *picks)
     parts = []
     for j, p in enumerate(probs):
         share = _position(p) - F.floor(_position(p))
         low, high = F.col(f"l{j}"), F.col(f"h{j}")
-        parts.append(low + (high - low) * share)
+        parts.append(F.when(low == high, low).otherwise(low * (1 - share) + high * share))
     found = found.select(*group, F.array(*parts).alias("q"))
-    return found.groupBy(*by).agg(*[
-        F.max(F.when(F.col("name") == c, F.col("q"))).alias(c) for c in value_cols
-    ])
+    wide = found.groupBy(*by).agg(*[
+        F.max(F.when(F.col("name") == c, F.col("q"))).alias(c) for c in value_cols])
+    if not by:
+        return wide
+    groups = df.select(*by).dropna().distinct()
+    return groups.join(wide, by, "left")
 
 
 def _position(p):

@@ -74,10 +74,10 @@ def pivot_cells(df, index, column, value, values=None):
     return single.groupBy(index).pivot(column, values).agg(F.max("cell"))
 
 
-def box_stats(df, category="product_category", value="irr", factor=1.5, small_rows=None):
+def box_stats(df, category="product_category", value="irr", factor=1.5):
     """Quartiles, whiskers inside the fences, and the number of points outside."""
     present = df.where(F.col(value).isNotNull() & F.col(category).isNotNull())
-    q = quantiles(present, [value], [0.25, 0.5, 0.75], [category], small_rows, bound=df).select(
+    q = quantiles(present, [value], [0.25, 0.5, 0.75], [category]).select(
         category, *[F.col(value)[i].alias(name) for i, name in enumerate(("q1", "median", "q3"))])
     reach = factor * (F.col("q3") - F.col("q1"))
     v = F.col(value)

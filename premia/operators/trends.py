@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from premia.functions.labels import trend_direction
 from premia.functions.special import t_two_sided
-from premia.operators.quantiles import is_small, value_bucket
+from premia.operators.ordering import rows_before
 from premia.schemas import empty
 
 TREND_DDL = ("slope double, intercept double, r_squared double, p_value double, "
@@ -76,49 +76,27 @@ def trend_table(df, year="issue_year", metrics=("irr", "annual_return_rate")):
     return linear_trend(long, year, "value", ["metric"])
 
 
-def moving_average(df, value, order, window=3, by=(), small_rows=None, block_rows=1_000_000):
+def moving_average(df, value, order, window=3, by=(), block_rows=1_000_000):
     """Trailing mean over ``window`` rows per group in the given order, which must be total.
 
-    Beyond the small size no group is sorted in one task: rows get their number within the
-    group, and the mean is taken per block of ``block_rows`` numbers, each block also seeing
-    the ``window`` - 1 rows before it. The first order column is then a number or a time, the
-    keys are not NULL, and the input is a scan or a stored table.
+    No group is sorted in one task: rows get their number within the group, and the mean is
+    taken per block of ``block_rows`` numbers, each block also seeing the ``window`` - 1 rows
+    before it. NULL keys are a group. The input is read once.
     """
-    name = f"{value}_ma{window}"
-    back = window - 1
-    if is_small(df, small_rows):
-        frame = Window.partitionBy(*by).orderBy(*order).rowsBetween(-back, 0)
-        return df.withColumn(name, F.avg(value).over(frame))
-    block_rows = max(block_rows, window)
+    back, block_rows = window - 1, max(block_rows, window)
     numbered = number_rows(df, order, by)
     block = F.floor((F.col("place") - 1) / block_rows)
     near_end = (F.col("place") - 1) % block_rows >= block_rows - back
     copies = F.when(near_end, F.array(block, block + 1)).otherwise(F.array(block))
     spread = numbered.withColumn("block", F.explode(copies))
     frame = Window.partitionBy(*by, "block").orderBy("place").rowsBetween(-back, 0)
-    averaged = spread.withColumn(name, F.avg(value).over(frame))
+    averaged = spread.withColumn(f"{value}_ma{window}", F.avg(value).over(frame))
     return averaged.where(F.col("block") == block).drop("block", "place")
 
 
 def number_rows(df, order, by=()):
-    """Adds ``place``, the number of each row in its group from 1.
-
-    Rows are counted per bucket of the first order column; a running sum over the buckets,
-    whose number does not depend on the row count, gives each its offset.
-    """
-    kind = df.schema[order[0]].dataType
-    first = F.col(order[0])
-    if isinstance(kind, T.TimestampNTZType | T.TimestampType | T.DateType):
-        first = F.unix_micros(first.cast("timestamp")) / F.lit(1e6)
-    lowest = df.agg(F.min(first)).scalar()
-    spread = df.withColumn("bucket", value_bucket(first.cast("double") - lowest))
-    before = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = spread.groupBy(*by, "bucket").agg(F.count("*").alias("rows")).select(
-        *by, "bucket", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("below"))
-    inside = Window.partitionBy(*by, "bucket").orderBy(*order)
-    return spread.withColumn("inside", F.row_number().over(inside)).join(
-        offsets, [*by, "bucket"]).withColumn(
-        "place", F.col("below") + F.col("inside")).drop("bucket", "below", "inside")
+    """Adds ``place``, the number of each row in its group from 1."""
+    return rows_before(df, order, by).withColumn("place", F.col("below") + 1).drop("below", "n")
 
 
 def volatility(df, value, group=None):

@@ -78,9 +78,8 @@ def xirr(spark, sf_dir):
                                  F.col("last.cash_value").alias("flow")))
     )
     found = cashflows.xirr_by_group(dated, ["policy_id"], "day", "flow")
-    # Newton's method may end far out on a flat curve; the logarithm compares such rates too
-    return found.select("policy_id", F.when(F.col("xirr") < 1e6, F.col("xirr")).alias("xirr"),
-                        F.log1p("xirr").alias("log_growth"))
+    # Newton's method may end far out on a flat curve; the logarithm compares all rates alike
+    return found.select("policy_id", F.log1p("xirr").alias("log_growth"))
 
 
 def mirr(spark, sf_dir):
@@ -200,9 +199,8 @@ QUERIES = [
     Query("irr_batch", irr_batch, "insured_age:6 irr:6", """
       SELECT policy_id AS insured_age, irr FROM batch_flow_lists
       LEFT JOIN batch_irr USING (policy_id, kind)""", "batch_flow_lists batch_irr"),
-    Query("xirr", xirr, "policy_id:s xirr:4 log_growth:6", """
-      SELECT policy_id, CASE WHEN g < 1e6 THEN g END AS xirr,
-        CASE WHEN g > -1 THEN ln(1 + g) END AS log_growth FROM newton
+    Query("xirr", xirr, "policy_id:s log_growth:6", """
+      SELECT policy_id, CASE WHEN g > -1 THEN ln(1 + g) END AS log_growth FROM newton
       QUALIFY row_number() OVER (PARTITION BY policy_id ORDER BY step DESC) = 1""", "newton"),
     Query("mirr", mirr, "policy_id:s mirr:6", """
       SELECT policy_id, CASE WHEN pv <> 0 AND fv <> 0 AND n > 1

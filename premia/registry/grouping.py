@@ -44,8 +44,7 @@ def yoy(spark, sf_dir):
 def percentiles_of_orders(spark, sf_dir):
     """Over the whole order lines, by the two-pass selection that large data take."""
     lines = views.given(spark, sf_dir, "lineitem")
-    return aggregates.percentile_distribution(lines, "l_returnflag", "l_extendedprice",
-                                              small_rows=0)
+    return aggregates.percentile_distribution(lines, "l_returnflag", "l_extendedprice")
 
 
 SPREAD = ", ".join(f"quantile_cont({{v}}, {p / 100}) AS p{p}" for p in (10, 25, 50, 75, 90))
@@ -56,7 +55,7 @@ SUMMARY_KINDS, SUMMARY_SQL = measures(METRICS, SUMMARY_STATS)
 QUERIES = [
     grouped("agg_by_product", aggregates.by_product, ["product_category:s"], METRICS, ALL),
     grouped("agg_by_product_selection", aggregates.by_product, ["product_category:s"], METRICS,
-            ALL, small_rows=0),
+            ALL),
     grouped("agg_by_year", aggregates.by_year, ["issue_year:i"], METRICS[:2], YEAR_STATS),
     grouped("agg_by_category_year", aggregates.by_category_year,
             ["product_category:s", "issue_year:i"], METRICS[:2], YEAR_STATS),

@@ -26,8 +26,7 @@ def moving_average(spark, sf_dir):
 def moving_average_blocks(spark, sf_dir):
     """By the block method that large data take, with blocks of 50 rows."""
     events = views.given(spark, sf_dir, "events")
-    return trends.moving_average(events, "value", ["ts", "event_id"], 3, ["event_type"],
-                                 small_rows=0, block_rows=50)
+    return trends.moving_average(events, "value", ["ts", "event_id"], 3, ["event_type"], block_rows=50)
 
 
 def moving_average_yearly(spark, sf_dir):

@@ -4,6 +4,7 @@ from pathlib import PurePosixPath
 
 from pyspark.sql import functions as F
 
+from premia.functions.columns import missing_nan
 from premia.schemas import TABLES
 
 FORMATS = {".csv": "csv", ".parquet": "parquet"}
@@ -39,10 +40,10 @@ def read_table(spark, base, name, schema=None, columns=None, file_format=None,
             known = {f.name: f for f in schema.fields}
             ddl = ", ".join(f"`{c}` {known[c].dataType.simpleString() if c in known else 'string'}"
                             for c in present)
-            return _pick(reader.schema(ddl).csv(path), columns)
+            return _pick(missing_nan(reader.schema(ddl).csv(path)), columns)
         return _pick(reader.csv(_existing(spark, path)), columns)
     reader = reader if schema is None else reader.schema(schema)
-    return _pick(reader.parquet(_existing(spark, path)), columns)
+    return _pick(missing_nan(reader.parquet(_existing(spark, path))), columns)
 
 
 def _existing(spark, path):
@@ -83,9 +84,17 @@ def query(spark, text, params=None):
     return spark.sql(text, args=params)
 
 
-def jdbc_table(spark, url, name, columns=None, where=None, limit=None, properties=None):
-    """A database table; projection, filter and limit are pushed to the database by Spark."""
-    df = spark.read.jdbc(url, name, properties=properties or {})
+def jdbc_table(spark, url, name, columns=None, where=None, limit=None, properties=None,
+               split_on=None, bounds=None, tasks=None):
+    """A database table; projection, filter and limit are pushed to the database by Spark.
+
+    ``split_on`` names a numeric, date or timestamp column by whose values between the two
+    ``bounds`` the read is split into ``tasks`` queries; rows outside the bounds are read too.
+    """
+    split = {} if split_on is None else {
+        "column": split_on, "lowerBound": bounds[0], "upperBound": bounds[1],
+        "numPartitions": tasks or spark.sparkContext.defaultParallelism}
+    df = spark.read.jdbc(url, name, properties=properties or {}, **split)
     return scan(df, columns, where, limit)
 
 

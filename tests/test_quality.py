@@ -44,11 +44,10 @@ def test_unreadable_dates_skip_the_check(spark):
     assert quality.date_order_issues(policies(spark, rows)).first().issues == 0
 
 
-@pytest.mark.parametrize("small_rows", [None, 0])
-def test_outliers(spark, small_rows):
+def test_outliers(spark):
     df = spark.createDataFrame([(float(i),) for i in range(20)] + [(500.0,), (-400.0,), (None,)],
                                "v double")
-    row = quality.iqr_outliers(df, "t", small_rows=small_rows).first()
+    row = quality.iqr_outliers(df, "t").first()
     assert row.value == 2 and row.rate == pytest.approx(2 / 22)
     assert (row.lower, row.upper) == pytest.approx((-11.5, 30.5))
 

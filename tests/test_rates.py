@@ -69,6 +69,17 @@ def test_series_with_one_sign_change_always_has_a_rate(spark):
                solve(spark, series, solvers.irr(F.col("flows"))).values())
 
 
+def test_curves_that_only_touch_zero_have_a_rate(spark):
+    series, wanted = {}, {}
+    for scale in (1.0, 37.0, 1e5):
+        for k in range(59):
+            g = 0.8 + 0.01 * k
+            key = f"{scale} {k}"
+            series[key], wanted[key] = [-scale, 2 * g * scale, -g * g * scale], g - 1
+    found = solve(spark, series, solvers.irr(F.col("flows")))
+    assert all(found[k] == pytest.approx(wanted[k], abs=1e-5) for k in wanted)
+
+
 def dated(spark, rows):
     return spark.createDataFrame(rows, "id string, day string, flow double").withColumn(
         "day", F.to_timestamp("day"))

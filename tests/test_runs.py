@@ -12,12 +12,13 @@ from __spark_entry__ import entry, oracle_sql, queries
 from premia import schemas
 from premia.plans import stages
 from premia.sources import tables, views
-from premia.storage import shared_dir, store
+from premia.storage import release, shared_dir, store
 
 SF_DIR = "/root/testdata/sf0.001"
 # One query per kind of work; set PREMIA_ALL_QUERIES to compare all of them.
 SAMPLE = [
-    "scan_project_filter_limit", "scan_by_period", "coerce_types", "impute_median_zero",
+    "scan_project_filter_limit", "scan_by_period", "csv_round_trip", "parquet_round_trip",
+    "load_tables", "list_tables", "coerce_types", "impute_median_zero",
     "impute_mode", "clean_policy", "cleaning_audit", "cashflow_annual", "irr_with_dividend",
     "xirr", "mirr", "policy_returns", "agg_by_product_selection", "top_n_per_group",
     "category_trends", "compare_periods", "iqr_outliers_selection", "quality_score", "anova",
@@ -110,10 +111,18 @@ def test_cashflow_is_partitioned_by_year(spark, tmp_path):
     assert back.where("year = 2021").first().premium_outflow == 2
 
 
-def test_store_uses_the_shared_folder(spark):
-    df = store(spark.range(3).toDF("n"), "unit")
-    assert sorted(r.n for r in df.collect()) == [0, 1, 2]
-    assert all(shared_dir(spark) in f for f in df.inputFiles())
+def test_store_uses_the_shared_folder_or_persists(spark, tmp_path):
+    if shared_dir(spark) is None:
+        kept = store(spark.range(3).toDF("n"), "unit")
+        assert kept.is_cached
+        release(kept)
+    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
+    try:
+        df = store(spark.range(3).toDF("n"), "unit")
+        assert sorted(r.n for r in df.collect()) == [0, 1, 2]
+        assert df.inputFiles() and all(str(tmp_path) in f for f in df.inputFiles())
+    finally:
+        spark.conf.unset("spark.checkpoint.dir")
 
 
 def test_full_run_writes_all_tables(spark, tmp_path):

@@ -9,8 +9,7 @@ from premia.operators import aggregates, clean, features, quantiles, returns, tr
 from premia.schemas import AGE_EDGES, AGE_LABELS
 
 
-@pytest.mark.parametrize("path", ["built-in", "selection"])
-def test_quantiles_equal_numpy(spark, path):
+def test_quantiles_equal_numpy(spark):
     random = np.random.default_rng(1)
     groups = {"hot": np.concatenate([random.normal(0, 1e3, 3000), np.full(1500, 7.25)]),
               "tiny": np.array([1.0, 2.0, 4.0, 5.0, 10.0]), "one": np.array([-3.5]),
@@ -19,8 +18,7 @@ def test_quantiles_equal_numpy(spark, path):
     rows += [("hot", None), ("none", None), (None, 5.0)]
     df = spark.createDataFrame(rows, "g string, v double").repartition(7)
     probs = [0, 0.05, 0.25, 0.5, 0.9, 0.99, 1]
-    small = None if path == "built-in" else 0
-    found = {r.g: r.v for r in quantiles.quantiles(df, ["v"], probs, ["g"], small).collect()}
+    found = {r.g: r.v for r in quantiles.quantiles(df, ["v"], probs, ["g"]).collect()}
     for g, values in groups.items():
         assert found[g] == pytest.approx(np.quantile(values, probs), rel=1e-12), g
     assert None not in found and (found.get("none") is None)
@@ -28,16 +26,28 @@ def test_quantiles_equal_numpy(spark, path):
 
 def test_selection_of_several_columns_without_groups(spark):
     df = spark.range(1000).select((F.col("id") * 1.5).alias("a"), (-F.col("id")).alias("b"))
-    row = quantiles.quantiles(df, ["a", "b"], [0.25, 0.5], small_rows=0).first()
+    row = quantiles.quantiles(df, ["a", "b"], [0.25, 0.5]).first()
     assert row.a == pytest.approx([374.625, 749.25]) and row.b == pytest.approx([-749.25, -499.5])
 
 
-def test_value_buckets_keep_order(spark):
-    values = sorted([0.0, 1e-300, 1e300, -1e-300, -1e300, 5e-324, *np.linspace(-3, 3, 601)])
-    df = spark.createDataFrame([(float(v),) for v in values], "v double")
-    rows = df.select("v", quantiles.value_bucket(F.col("v")).alias("b")).orderBy("v").collect()
-    buckets = [r.b for r in rows]
-    assert buckets == sorted(buckets)
+def test_quantiles_of_odd_values(spark):
+    inf, nan = float("inf"), float("nan")
+    rows = [("nan", v) for v in [*range(9), nan]] + [("inf", v) for v in [*range(9), inf]]
+    rows += [("ids", 1.7e15 + k) for k in range(1001)] + [("none", None), ("none", None)]
+    df = spark.createDataFrame([(g, None if v is None else float(v)) for g, v in rows],
+                               "g string, v double")
+    found = {r.g: r.v for r in quantiles.quantiles(df, ["v"], [0.5, 0.9, 1], ["g"]).collect()}
+    assert found["nan"][:1] == [4.5] and np.isnan(found["nan"][2])
+    assert found["inf"][0] == 4.5 and found["inf"][2] == inf
+    assert found["ids"] == [1.7e15 + 500, 1.7e15 + 900, 1.7e15 + 1000]
+    assert found["none"] is None
+
+
+def test_numbers_of_rows_keep_null_keys_and_text_orders(spark):
+    rows = [(None, "b"), (None, "a"), ("x", "c"), ("x", None), ("x", "a")]
+    df = spark.createDataFrame(rows, "g string, t string")
+    found = {(r.g, r.t): r.place for r in trends.number_rows(df, ["t"], ["g"]).collect()}
+    assert found == {(None, "a"): 1, (None, "b"): 2, ("x", None): 1, ("x", "a"): 2, ("x", "c"): 3}
 
 
 def test_status_and_missing_values(spark):
@@ -173,10 +183,9 @@ def sample(spark):
               "annual_return_rate double, total_return_rate double")
 
 
-@pytest.mark.parametrize("small_rows", [None, 0])
-def test_aggregates(spark, small_rows):
+def test_aggregates(spark):
     df = sample(spark)
-    product = aggregates.by_product(df, small_rows=small_rows)
+    product = aggregates.by_product(df)
     pdf = df.toPandas()
     assert product.count() == 4
     for r in product.collect():
@@ -184,9 +193,9 @@ def test_aggregates(spark, small_rows):
         assert r.irr_count == 25 and r.irr_std == pytest.approx(irr.std())
         assert r.irr_median == pytest.approx(irr.median())
         assert (r.irr_p5, r.irr_p95) == pytest.approx(tuple(irr.quantile([0.05, 0.95])))
-    assert aggregates.by_year(df, small_rows=small_rows).count() == 4
-    assert aggregates.by_category_year(df, small_rows=small_rows).count() == 16
-    summary = aggregates.summary_statistics(df, small_rows=small_rows).first()
+    assert aggregates.by_year(df).count() == 4
+    assert aggregates.by_category_year(df).count() == 16
+    summary = aggregates.summary_statistics(df).first()
     assert (summary.total_policies, summary.start_year, summary.end_year) == (100, 2020, 2023)
     assert summary.irr_median == pytest.approx(pdf.irr.median())
 
@@ -259,7 +268,7 @@ def test_moving_average_in_blocks_equals_one_window(spark):
     df = spark.createDataFrame(rows, "g string, t double, id int, v double").repartition(5)
     for window, block in ((1, 10), (3, 10), (7, 7), (7, 50), (9, 2)):
         plain = trends.moving_average(df, "v", ["t", "id"], window, ["g"])
-        blocks = trends.moving_average(df, "v", ["t", "id"], window, ["g"], 0, block)
+        blocks = trends.moving_average(df, "v", ["t", "id"], window, ["g"], block)
         name = f"v_ma{window}"
         found = {r.id: r[name] for r in blocks.collect()}
         assert len(found) == blocks.count() == 600
