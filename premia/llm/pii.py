@@ -384,12 +384,12 @@ def _line(spans):
 
 
 def personal_data(docs, net, id_column="doc_id", text_column="text"):
-    """doc_id, array of (kind, start, end), digest of the base spans and text form of all spans."""
+    """doc_id, array of (kind, start, end, base), digest of the base spans, text form of all."""
     chosen = docs.select(F.col(id_column).alias("doc_id"),
                          F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     kind = chosen.schema["doc_id"].dataType.simpleString()
     shape = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()),
-                                ("end", pa.int64())]))
+                                ("end", pa.int64()), ("base", pa.bool_())]))
 
     def read(batches):
         for batch in batches:
@@ -400,12 +400,12 @@ def personal_data(docs, net, id_column="doc_id", text_column="text"):
                 every = [sorted(b + m) for b, m in zip(base, more)]
                 yield pa.RecordBatch.from_arrays([
                     piece.column("doc_id"),
-                    pa.array([[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in spans]
-                              for spans in every], shape),
+                    pa.array([[{"kind": KINDS[x[1]], "start": x[0], "end": x[2], "base": x in b}
+                               for x in spans] for spans, b in zip(every, base)], shape),
                     pa.array([hashlib.sha256(_line(b).encode()).hexdigest() for b in base],
                              pa.string()),
                     pa.array(map(_line, every), pa.string())],
                     ["doc_id", "found", "base_sha256", "spans"])
 
     return chosen.mapInArrow(read, f"doc_id {kind}, found array<struct<kind:string,start:bigint,"
-                                   "end:bigint>>, base_sha256 string, spans string")
+                                   "end:bigint,base:boolean>>, base_sha256 string, spans string")

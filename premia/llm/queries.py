@@ -36,19 +36,27 @@ def op3_sentencepiece(spark, sf_dir):
 
 
 def op4_pii(spark, sf_dir):
+    """Counts are of the base spans, like their digest; ``spans`` has the added ones too."""
     docs = _documents(spark, sf_dir)
     found = pii.personal_data(docs, pii.train(docs))
-    return found.select("doc_id", *map(_count_kind, pii.KINDS), "base_sha256", "spans")
+    base = found.withColumn("found", F.filter("found", lambda s: s["base"]))
+    return base.select("doc_id", *map(_count_kind, pii.KINDS), "base_sha256", "spans")
 
 
 def op5_token_counts(spark, sf_dir):
     """A cache of its own for each call, so that what is timed is the counting."""
-    cache = new_path(spark, "token-cache") or f"{tempfile.gettempdir()}/token-cache-{uuid.uuid4()}"
     return token_counts.count_tokens(
-        _documents(spark, sf_dir), cache, public_tokenizers.path("byte_bpe_50k.json"),
+        _documents(spark, sf_dir), _new_cache(spark), public_tokenizers.path("byte_bpe_50k.json"),
         public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def _new_cache(spark):
+    cache = new_path(spark, "token-cache")
+    if cache is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    return cache or f"{tempfile.gettempdir()}/token-cache-{uuid.uuid4()}"
+
+
 def op6_toxicity(spark, sf_dir):
     docs, labels = _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.severities(docs, toxicity.train(docs, labels))
