@@ -111,18 +111,15 @@ def test_cashflow_is_partitioned_by_year(spark, tmp_path):
     assert back.where("year = 2021").first().premium_outflow == 2
 
 
-def test_store_uses_the_shared_folder_or_persists(spark, tmp_path):
+def test_store_uses_the_shared_folder_or_persists(spark):
+    df = store(spark.range(3).toDF("n"), "unit")
+    assert sorted(r.n for r in df.collect()) == [0, 1, 2]
     if shared_dir(spark) is None:
-        kept = store(spark.range(3).toDF("n"), "unit")
-        assert kept.is_cached
-        release(kept)
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        df = store(spark.range(3).toDF("n"), "unit")
-        assert sorted(r.n for r in df.collect()) == [0, 1, 2]
-        assert df.inputFiles() and all(str(tmp_path) in f for f in df.inputFiles())
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+        assert df.is_cached
+        release(df)
+        assert not df.is_cached
+    else:
+        assert df.inputFiles() and all(shared_dir(spark) in f for f in df.inputFiles())
 
 
 def test_full_run_writes_all_tables(spark, tmp_path):
