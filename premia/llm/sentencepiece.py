@@ -15,8 +15,9 @@ Documents of up to ``CHUNK`` characters are searched by one task each. Longer on
    they give the states of the best path.
 4. Each chunk is traced back on its own between its two states.
 
-Where no piece of the file has U+2581 after another character, words are separate searches: equal
-words are searched once a task, and a matrix needs only the cut words at both ends of its chunk.
+Before a character that no piece has after a different one (U+2581 in most files) every path is
+cut. The stretches between cuts are separate searches: equal ones are searched once a task, and a
+matrix needs only the cut stretches at both ends of its chunk.
 
 Nulls count as empty texts, which have no pieces; equal long texts are encoded once; repeated rows
 give repeated rows; an empty table gives an empty result; other columns are not read. Decoding
@@ -38,18 +39,23 @@ from premia.storage import store
 SPACE = "▁"
 CHUNK = 16_384
 MOST_CHUNKS = 4_096
-_CACHED = 300_000
+_CACHED = 400_000
 _NONE = float("-inf")
 
 
 class Pieces:
-    """Pieces of a file: ids and scores by string, ids of bytes, the longest piece."""
+    """Pieces of a file: ids and scores by string, ids of bytes, what each id stands for."""
 
     def __init__(self, table, bytes_at, names):
         self.table, self.bytes_at, self.names = table, bytes_at, names
         self.reach = max(map(len, table))
         self.unknown = min(score for _, score in table.values()) - 10.0
-        self.by_word = not any(re.search(f"[^{SPACE}]{SPACE}", piece) for piece in table)
+        self.scores = {}  # of every beginning of a piece; nothing longer need be tried without one
+        for piece, (_, score) in table.items():
+            for k in range(1, len(piece)):
+                self.scores.setdefault(piece[:k], self.unknown if k == 1 else _NONE)
+            self.scores[piece] = score
+        self.stretch = _stretches(table)
         self.cached = {}
 
     @classmethod
@@ -59,10 +65,13 @@ class Pieces:
         table, bytes_at, names = {}, {}, []
         for k in range(model.get_piece_size()):
             piece = model.id_to_piece(k)
-            names.append("" if model.is_control(k) or model.is_unknown(k) else piece)
             if model.is_byte(k):
                 bytes_at[int(piece[3:5], 16)] = k
-            elif not (model.is_control(k) or model.is_unknown(k) or model.is_unused(k)):
+                names.append(bytes([int(piece[3:5], 16)]))
+                continue
+            names.append(b"" if model.is_control(k) or model.is_unknown(k)
+                         else piece.replace(SPACE, " ").encode())
+            if not (model.is_control(k) or model.is_unknown(k) or model.is_unused(k)):
                 table[piece] = (k, float(model.get_score(k)))
         return cls(table, bytes_at, names)
 
@@ -74,14 +83,17 @@ class Pieces:
         """
         best, came = [_NONE] * (len(text) + 1), [-1] * (len(text) + 1)
         best[:len(entry)] = entry[:len(text) + 1]
-        table = self.table
+        scores, unknown, last = self.scores, self.unknown, len(text) + 1
         for start in range(size):
             sum_here = best[start]
             if sum_here == _NONE:
                 continue
-            for end in range(start + 1, min(len(text), start + self.reach) + 1):
-                found = table.get(text[start:end])
-                score = found[1] if found else self.unknown if end == start + 1 else _NONE
+            for end in range(start + 1, last):
+                score = scores.get(text[start:end])
+                if score is None:
+                    if end > start + 1:
+                        break
+                    score = unknown
                 if sum_here + score > best[end]:
                     best[end], came[end] = sum_here + score, start
         return best, came
@@ -113,36 +125,31 @@ class Pieces:
         return found
 
     def words(self, text):
-        return _WORD.findall(text) if self.by_word else [text] if text else []
+        return self.stretch.findall(text)
 
     def encode(self, text):
         """Ids of a whole text."""
-        out = []
-        for word in self.words(prepared(text)):
-            out += self.word(word)[1]
+        out, cached = [], self.cached
+        for word in self.stretch.findall(prepared(text)):
+            found = cached.get(word)
+            out += found[1] if found else self.word(word)[1]
         return out
 
     def decode(self, ids):
-        out = bytearray()
-        for k in ids:
-            name = self.names[k]
-            if len(name) == 6 and name.startswith("<0x"):
-                out.append(int(name[3:5], 16))
-            else:
-                out += name.replace(SPACE, " ").encode("utf-8", "surrogatepass")
-        return out.decode("utf-8", "replace").removeprefix(" ")
+        names = self.names
+        return b"".join([names[k] for k in ids]).decode("utf-8", "replace").removeprefix(" ")
 
     # Chunks: ``text`` is the chunk of ``size`` characters and what follows within reach.
 
     def _parts(self, text, size):
         """(head, words between, tail with what follows, characters of the tail), or None."""
-        cuts = [m.start() + 1 for m in _CUT.finditer(text, 0, size)] if self.by_word else []
-        cuts = [c for c in cuts if 0 < c < size]
+        starts = [m.start() for m in self.stretch.finditer(text)][1:]
+        cuts = [c for c in starts if c < size]
         if not cuts:
             return None
-        behind = _CUT.search(text, max(0, size - 1))
-        tail = text[cuts[-1]:behind.start() + 1 if behind else len(text)]
-        return text[:cuts[0]], self.words(text[cuts[0]:cuts[-1]]), tail, size - cuts[-1]
+        behind = min((c for c in starts if c >= size), default=len(text))
+        return (text[:cuts[0]], self.words(text[cuts[0]:cuts[-1]]), text[cuts[-1]:behind],
+                size - cuts[-1])
 
     def _exits(self, best, size):
         out = np.full(self.reach, _NONE)
@@ -190,8 +197,17 @@ class Pieces:
         return out + self.trace(tail, self.search(tail, kept)[1], kept + leave)[0]
 
 
-_WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-_CUT = re.compile(f"[^{SPACE}](?={SPACE})")
+def _stretches(table):
+    """Expression for the stretches of a text between cuts; cuts are before ASCII or U+2581."""
+    heads = {chr(c) for c in range(128)} | {SPACE}
+    heads -= {b for piece in table for a, b in zip(piece, piece[1:]) if a != b}
+    runs = {a for piece in table for a, b in zip(piece, piece[1:]) if a == b} & heads
+    inside = "".join(map(re.escape, sorted(heads)))
+    once = "".join(map(re.escape, sorted(heads - runs)))
+    first = [*(f"{re.escape(c)}+" for c in sorted(runs)), *([f"[{once}]"] if once else [])]
+    if not heads:
+        return re.compile(".+", re.DOTALL)
+    return re.compile(f"(?:{'|'.join(first)})[^{inside}]*|[^{inside}]+")
 
 
 def prepared(text):
