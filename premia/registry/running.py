@@ -1,5 +1,10 @@
 """Whole runs over the policy model."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from premia.plans import stages
 from premia.registry import base
 from premia.registry.base import Query
@@ -18,6 +23,21 @@ def full_run(spark, sf_dir):
         "analysis"]["by_category_year"]
 
 
+def full_run_tables(spark, sf_dir):
+    """Every table of every stage of one run, each computed in full: (stage, name, rows)."""
+    found = stages.full_run(_tables(spark, sf_dir), views.AS_OF_YEAR, views.CATEGORIES)
+    named = [(stage, name, df) for stage, tables in found.items() if isinstance(tables, dict)
+             for name, df in tables.items()] + [("calculate", "returns", found["returns"])]
+    counts = []
+    for stage, name, df in named:
+        # all columns take part in the count, so that none is pruned away
+        content = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+        counts.append(df.select(content.alias("content")).agg(
+            F.lit(stage).alias("stage"), F.lit(name).alias("name"),
+            F.count("content").alias("rows")))
+    return reduce(DataFrame.unionByName, counts)
+
+
 def transform_stage(spark, sf_dir):
     return stages.transform(_tables(spark, sf_dir), views.AS_OF_YEAR, views.CATEGORIES)[
         "analysis_wide"]
@@ -47,6 +67,7 @@ PRODUCT_KINDS, PRODUCT_SQL = measures(METRICS, ALL)
 QUERIES = [
     Query("full_run", full_run, f"product_category:s issue_year:i {KINDS}",
           f"SELECT product_category, issue_year, {SQL} FROM returns GROUP BY ALL", "returns"),
+    Query("full_run_tables", full_run_tables, "stage:s name:s rows:l"),
     Query("transform_stage", transform_stage, f"{FEATURES} {ROLLUP} total_account_value:4",
           "SELECT * FROM wide", "wide"),
     Query("analyze_stage", analyze_stage, f"product_category:s {PRODUCT_KINDS}",
