@@ -95,16 +95,44 @@ QUERIES = {f.__name__: f for f in (
 
 ORACLE_SQL = {"op8_topk": """
 WITH usable AS (
-    SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
     FROM embeddings
     WHERE vec_id IS NOT NULL AND len(embedding) > 0
-      AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 scored AS (
     SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
-           CAST(list_sum(list_transform(list_zip(q.v, c.v), p -> p[1] * p[2])) AS BIGINT) AS score
+           CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
     FROM usable q JOIN usable c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
     WHERE q.vec_id % 50 = 0)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)
                       AS INTEGER) AS rank, vec_id, score
 FROM scored QUALIFY rank <= 5
+""", "op9_jaccard_join": r"""
+WITH RECURSIVE texts AS (
+    SELECT text, copies, row_number() OVER (ORDER BY text) AS k FROM (
+        SELECT coalesce(text, '') AS text, count(*) AS copies FROM documents GROUP BY 1)),
+words AS (
+    SELECT k, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+    FROM texts),
+starts AS (SELECT k, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words),
+shingles AS (SELECT DISTINCT k, coalesce(array_to_string(w[i:i + 4], ' '), '') AS s FROM starts),
+sizes AS (SELECT k, count(*) AS n FROM shingles GROUP BY k),
+shared AS (
+    SELECT x.k AS a, y.k AS b, count(*) AS common
+    FROM shingles x JOIN shingles y ON x.s = y.s AND x.k <> y.k GROUP BY 1, 2),
+links AS (
+    SELECT a, b FROM shared JOIN sizes p ON p.k = a JOIN sizes q ON q.k = b
+    WHERE common >= 0.8 * (p.n + q.n - common)),
+reached AS (
+    SELECT k AS a, k AS b FROM texts
+    UNION SELECT reached.a, links.b FROM reached JOIN links ON reached.b = links.a),
+roots AS (SELECT a AS k, min(b) AS root FROM reached GROUP BY a),
+counted AS (
+    SELECT a AS k, count(*) AS n_text_links, sum(copies) AS others
+    FROM links JOIN texts ON texts.k = b GROUP BY a)
+SELECT doc_id, CAST(min(doc_id) OVER (PARTITION BY root) AS BIGINT) AS class_id,
+       CAST(texts.copies - 1 + coalesce(others, 0) AS BIGINT) AS n_links,
+       CAST(coalesce(n_text_links, 0) AS BIGINT) AS n_text_links
+FROM documents JOIN texts ON texts.text = coalesce(documents.text, '')
+JOIN roots USING (k) LEFT JOIN counted USING (k)
 """}

@@ -112,3 +112,13 @@ def test_components_of_a_long_chain(spark):
         spark.createDataFrame([(500, 501), (501, 500), (7, 7)], "a bigint, b bigint"))
     found = {r.node: r.root for r in components(edges).collect()}
     assert found == {**{k: 0 for k in range(201)}, 500: 500, 501: 500}
+
+
+def test_sql_equals_brute_force():
+    import duckdb
+    from premia.llm.queries import ORACLE_SQL
+    duck = duckdb.connect()
+    duck.sql("CREATE VIEW documents AS FROM '/root/testdata/sf0.01/documents.parquet'")
+    rows = duck.sql("SELECT doc_id, text FROM documents").fetchall()
+    found = duck.sql(ORACLE_SQL["op9_jaccard_join"]).fetchall()
+    assert sorted(found, key=str) == brute(rows)
