@@ -164,6 +164,7 @@ def cleaning_audit(df, min_premium=1000, statuses=IN_FORCE_STATUSES):
         counts.append(F.count_if("low_premium").alias("low"))
     row = unique.agg(*counts)
     all_rows = df.agg(F.count("*")).scalar()
+    # fixed values: the names of the steps
     steps = [("删除重复行", all_rows - F.col("unique_rows"))]
     steps += [(f"填充缺失值 [{c}]", F.col(f"missing {c}")) for c in numbers + texts]
     if "annual_premium" in numbers:

@@ -12,6 +12,7 @@ from premia.functions.columns import correlation
 from premia.functions.special import f_upper, t_two_sided
 from premia.operators.trends import with_slope_test
 
+# fixed values
 DRIVERS = ["annual_premium", "payment_term", "sum_assured", "insured_age", "issue_year",
            "cumulative_premium"]
 

@@ -1,4 +1,7 @@
-"""Data-quality checks over the policy model."""
+"""Data-quality checks over the policy model.
+
+Fixed values in the SQL below: range limits, known statuses and advice texts.
+"""
 
 from pyspark.sql import functions as F
 

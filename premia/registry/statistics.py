@@ -1,4 +1,7 @@
-"""Hypothesis tests, correlation and regression."""
+"""Hypothesis tests, correlation and regression.
+
+Fixed values in the SQL below: test names, labels and conclusions.
+"""
 
 from pyspark.sql import functions as F
 
@@ -74,8 +77,7 @@ def durbin_watson(spark, sf_dir):
     return regression.durbin_watson(lines, "e", LINE)
 
 
-DRIVERS = ["annual_premium", "payment_term", "sum_assured", "insured_age", "issue_year",
-           "cumulative_premium"]
+DRIVERS = regression.DRIVERS
 FEATURES = ["annual_premium", "payment_term", "sum_assured", "insured_age", "observation_years",
             "latest_cash_value", "cumulative_premium"]
 
