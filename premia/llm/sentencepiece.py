@@ -39,7 +39,7 @@ from premia.storage import store
 SPACE = "▁"
 CHUNK = 16_384
 MOST_CHUNKS = 4_096
-_CACHED = 400_000
+_CACHED = 100_000
 _NONE = float("-inf")
 
 
@@ -56,7 +56,13 @@ class Pieces:
                 self.scores.setdefault(piece[:k], self.unknown if k == 1 else _NONE)
             self.scores[piece] = score
         self.stretch = _stretches(table)
-        self.cached = {}
+        self.cached, self.older = {}, {}
+        self.tree = {}  # character: [score, id, tree of what may follow]
+        for piece, (k, score) in table.items():
+            branch = self.tree
+            for c in piece[:-1]:
+                branch = branch.setdefault(c, [_NONE, -1, {}])[2]
+            branch.setdefault(piece[-1], [_NONE, -1, {}])[:2] = score, k
 
     @classmethod
     def load(cls, path):
@@ -116,22 +122,48 @@ class Pieces:
         """Sum and ids of a text that no piece leaves."""
         found = self.cached.get(text)
         if found is None:
-            if len(self.cached) >= _CACHED:
-                self.cached.clear()
-            best, came = self.search(text, len(text))
-            found = best[-1], self.trace(text, came, len(text))[0]
+            found = self.older.get(text) or self._search_word(text)
             if len(text) <= 64:
+                if len(self.cached) >= _CACHED:
+                    self.cached, self.older = {}, self.cached
                 self.cached[text] = found
         return found
 
+    def _search_word(self, text):
+        """``search`` and ``trace`` of a whole text, walking the tree of pieces."""
+        size, tree, unknown = len(text), self.tree, self.unknown
+        best, came, which = [0.0] + [_NONE] * size, [0] * (size + 1), [-1] * (size + 1)
+        for start in range(size):
+            here, branch, end = best[start], tree, start
+            for c in text[start:start + self.reach]:
+                node = branch.get(c)
+                if node is None:
+                    break
+                end += 1
+                score, k, branch = node
+                if here + score > best[end]:
+                    best[end], came[end], which[end] = here + score, start, k
+            if here + unknown > best[start + 1] and (
+                    text[start] not in tree or tree[text[start]][1] < 0):
+                best[start + 1], came[start + 1], which[start + 1] = here + unknown, start, -1
+        out, end = [], size
+        while end:
+            if which[end] >= 0:
+                out.append(which[end])
+            else:
+                out += [self.bytes_at[b] for b in
+                        reversed(text[came[end]:end].encode("utf-8", "surrogatepass"))]
+            end = came[end]
+        return best[-1], out[::-1]
+
     def words(self, text):
         return self.stretch.findall(text)
 
     def encode(self, text):
         """Ids of a whole text."""
-        out, cached = [], self.cached
+        out = []
         for word in self.stretch.findall(prepared(text)):
-            found = cached.get(word)
+            found = self.cached.get(word)
             out += found[1] if found else self.word(word)[1]
         return out
 
@@ -158,13 +190,15 @@ class Pieces:
         return out
 
     def matrix(self, text, size):
-        """Best sum from each entry state to each exit state."""
+        """Best sum from each entry state to each exit state.
+
+        What lies between the first and the last cut adds the same to all, and is left out.
+        """
         parts, out = self._parts(text, size), np.full((self.reach, self.reach), _NONE)
         tail = None
         if parts:
-            head, between, end, kept = parts
-            tail = self._exits(self.search(end, kept)[0], kept) + sum(
-                self.word(w)[0] for w in between)
+            head, _, end, kept = parts
+            tail = self._exits(self.search(end, kept)[0], kept)
         for state in range(min(self.reach, len(text) + 1)):
             entry = [_NONE] * state + [0.0]
             if parts is None:
