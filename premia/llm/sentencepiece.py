@@ -39,7 +39,7 @@ from premia.storage import store
 SPACE = "▁"
 CHUNK = 16_384
 MOST_CHUNKS = 4_096
-_CACHED = 100_000
+_CACHED = 50_000
 _NONE = float("-inf")
 
 
