@@ -114,6 +114,29 @@ def test_components_of_a_long_chain(spark):
     assert found == {**{k: 0 for k in range(201)}, 500: 500, 501: 500}
 
 
+def test_components_of_chains_in_random_order(spark):
+    rng, edges, wanted = random.Random(6), [], {}
+    for start, length, width in ((0, 1000, 2), (10_000, 1500, 5)):
+        ids = list(range(start, start + length))
+        rng.shuffle(ids)
+        for k in range(length - width + 1):
+            edges += [(i, min(ids[k:k + width])) for i in ids[k:k + width]]
+        wanted |= dict.fromkeys(ids, start)
+    rng.shuffle(edges)
+    table = spark.createDataFrame(edges, "a bigint, b bigint")
+    assert {r.node: r.root for r in components(table).collect()} == wanted
+
+
+def test_chain_of_revisions(spark):
+    text, rows = [f"w{i}" for i in range(60)], []
+    for k in range(700):
+        text[k * 7 % 60] = f"r{k}"
+        rows.append((k, " ".join(text)))
+    found = run(spark, rows)[1]
+    assert found == brute(rows)
+    assert {c for _, c, _, _ in found} == {0}
+
+
 def test_sql_equals_brute_force():
     import duckdb
     from premia.llm.queries import ORACLE_SQL
