@@ -5,6 +5,8 @@ minimisation turn all of them into one transition array. A batch of texts is one
 into lanes, which advance together, a byte a step. A byte that no rule uses takes any state
 back to the start and ends every match, so lanes and exact checks are cut there. Stretches in
 which the automaton accepts are read again by the rules' full expressions, which give the spans.
+A private key has many lines and any characters between them: a text with the scan form of such a
+``whole`` rule is read by its full expression from end to end.
 
 Nulls count as empty texts; an empty table gives an empty result; repeated rows give repeated
 rows; other columns are not read by ``secret_spans`` and kept by ``redact``.
@@ -27,7 +29,8 @@ from premia.llm.text import joined_bytes, pieces
 class Rule:
     """``scan`` must match somewhere in each match of ``full`` that is kept.
 
-    A match is dropped if ``group`` of it is shorter than ``least``.
+    A match is dropped if ``group`` of it is shorter than ``least``. A match of a ``whole`` rule may
+    go on past bytes that no rule uses.
     """
 
     kind: str
@@ -36,10 +39,20 @@ class Rule:
     group: int = 0
     least: int = 0
     base: bool = False
+    whole: bool = False
 
 
 # The three base kinds of secrets as given, in this order, then published formats.
 _ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?"""
+_KEY = "[A-Z ]*PRIVATE KEY-----"
+_BREAK = r"(?:[ \t>]*+(?:\r\n?|\n|\\r\\n|\\n))"  # of a line, also quoted or as written in strings
+_BASE64 = r"(?:[A-Za-z0-9+/]{32,}+=*+|[A-Za-z0-9+/]++=++)"
+_LINE = rf"(?:{_BASE64}|[A-Za-z0-9+/]++(?=[\"'`<]|[ \t]*+(?:[\r\n\\]|\Z)))"
+# To the END line before any other key; without one, over the headers and base64 lines that follow.
+_KEY_BODY = (
+    rf"(?:(?:[^-]++|-(?!----(?:BEGIN|END) {_KEY}))*+-----END {_KEY}"
+    rf"|(?:(?:{_BREAK}[ \t>]*+[A-Za-z][A-Za-z0-9-]*+:[^\r\n\\]*+)++(?={_BREAK}{{2}}))?+"
+    rf"(?:[ \t]*+{_BASE64}|{_BREAK}++[ \t>]*+{_LINE})*+)")
 RULES = (
     Rule("assign", _ASSIGN + r"([A-Za-z0-9+/_.=-]+)", _ASSIGN + r"[A-Za-z0-9+/_.=-]", 2, 6, True),
     Rule("access", r"AKIA[A-Z0-9]+", r"AKIA[A-Z0-9]{4}", 0, 20, True),
@@ -49,7 +62,7 @@ RULES = (
     Rule("google", r"AIza[A-Za-z0-9_-]{35,}", r"AIza"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
          r"\.eyJ"),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", r"PRIVATE KEY-----"),
+    Rule("private_key", f"-----BEGIN {_KEY}{_KEY_BODY}", r"PRIVATE KEY-----", whole=True),
 )
 
 
@@ -132,7 +145,8 @@ def compile_rules(rules=RULES):
     for rule in rules:
         nfa.empty[nfa.add(_parser.parse(rule.scan), start)].append(final)
         full = _Nfa()
-        full.add(_parser.parse(rule.full), full.state())
+        if not rule.whole:
+            full.add(_parser.parse(rule.full), full.state())
         used |= {b for steps in (*full.steps, *nfa.steps) for chars, _ in steps for b in chars}
     kinds = {}
     for byte in sorted(used):
@@ -242,15 +256,24 @@ def scan_texts(texts, automaton, rules=RULES):
     cuts = np.concatenate([[-1], np.flatnonzero(automaton.unused[data])])
     after = np.unique(np.searchsorted(cuts, places))
     compiled = [re.compile(rule.full) for rule in rules]
+    signs = [re.compile(rule.scan) for rule in rules]
+    wholes = set()
     for k in after.tolist():
         start, end = int(cuts[k - 1]) + 1, int(cuts[k])
         doc = int(np.searchsorted(offsets, start, side="right")) - 1
         stretch = data[start:end].tobytes().decode("ascii")
         shift = int(((data[offsets[doc]:start] & 0xC0) != 0x80).sum())
         for number, (rule, pattern) in enumerate(zip(rules, compiled)):
+            if rule.whole:
+                if signs[number].search(stretch):
+                    wholes.add((doc, number))
+                continue
             spans[doc] += [(m.start() + shift, number, m.end() + shift)
                            for m in pattern.finditer(stretch)
                            if len(m[rule.group]) >= rule.least]
+    for doc, number in wholes:
+        spans[doc] += [(m.start(), number, m.end()) for m in compiled[number].finditer(texts[doc])
+                       if len(m[rules[number].group]) >= rules[number].least]
     return [sorted(found) for found in spans]
 
 

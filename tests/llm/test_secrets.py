@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from premia.llm import secrets
 
@@ -68,6 +69,37 @@ def test_spans_and_redaction(spark):
     assert secrets.secret_spans(docs.limit(0)).count() == 0
 
 
+def test_redact_leaves_no_key_line(spark):
+    rng = random.Random(9)
+    body = ["".join(rng.choices("ABCXYZabcxyz0189+/", k=64)) for _ in range(6)] + ["q1W2e3=="]
+    plain, short = body[:-1], body[:3] + ["q1W2e3"]
+    head, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    marks = ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0F", ""]
+    keys = [mark.join([head, *lines, *last]) for mark in ("\n", "\r\n", "\n    ", "\n> ", "\\n", "\n\n", " ")
+            for lines in (body, plain) for last in ([end], [])]
+    keys += ["\n".join([head, *marks, *body, *last]) for last in ([end], [])]
+    keys += ["\n".join([head, *short]), head + "\n" + body[0] + "\u00e9(x),\n" + body[1] + "\n" + end]
+    texts = [f"Texte \u00e9, first (line)\n{key}\nthe words after it, stay" for key in keys]
+    texts += [f'{{"key": "{key}"}}' for key in keys] + ["\n".join([keys[0], "between", keys[2]])]
+    docs = spark.createDataFrame([(k, t, "x", len(t), "y") for k, t in enumerate(texts)], SCHEMA)
+    for row in secrets.redact(docs).collect():
+        assert not any(line in row.text for line in (*body, "q1W2e3", "PRIVATE KEY", "DEK-Info")), row
+        assert row.n_chars == len(row.text)
+        if row.doc_id < len(keys):
+            assert row.text.startswith("Texte \u00e9, first (line)\n[secret]")
+            assert row.text.endswith("\nthe words after it, stay")
+    assert secrets.scan_texts(texts, secrets.compile_rules()) == [brute(t) for t in texts]
+
+
+def test_open_keys_take_time_in_proportion():
+    texts = [f"{head} x - " * 20_000 for head in ("-----BEGIN PRIVATE KEY-----", "PRIVATE KEY-----")]
+    texts.append("-----BEGIN PRIVATE KEY-----" + "\nA: b" * 100_000 + "\n > " * 100_000)
+    begun = time.process_time()
+    found = secrets.scan_texts(texts, secrets.compile_rules())
+    assert [len(f) for f in found] == [20_000, 0, 1]
+    assert time.process_time() - begun < 20
+
+
 def test_whole_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
