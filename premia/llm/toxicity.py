@@ -7,7 +7,8 @@ upper grade are the toxic texts with a larger part of tell-tale features than th
 Weights are fitted with AdaGrad and a soft threshold, so that terms that tell nothing weigh
 nothing, in numpy on a bounded sample (``SAMPLE`` labelled documents, the first by hash of id). A
 fifth of the sample is kept out of the fit and sets the chance from which a text is rejected: the
-greatest that a clean text of it has, within ``REJECT``.
+least that at most ``FALSE_RATE`` of its clean texts reach, or ``EVEN`` where they are too few to
+tell that rate.
 
 Nulls count as empty texts; a text without known terms gets the thresholds' own grade; without
 labels of both kinds nothing is rejected; an empty table gives an empty result; repeated rows
@@ -25,7 +26,8 @@ from premia.llm.text import pieces, prefix_hashes
 SAMPLE = 6_000
 BUCKETS = 1 << 20
 GRADES = 3
-REJECT = (0.35, 0.6)
+FALSE_RATE = 0.002
+EVEN = 0.5
 PREFIXES = (4, 5, 6, 7, 8, 9)
 
 
@@ -33,7 +35,7 @@ PREFIXES = (4, 5, 6, 7, 8, 9)
 class Model:
     weights: np.ndarray
     thresholds: np.ndarray
-    cut: float = REJECT[1]
+    cut: float = EVEN
 
     def rejects(self, texts):
         return self.at_least(texts)[:, 0] >= self.cut
@@ -141,8 +143,16 @@ def train(docs, labels, most=SAMPLE, keep=None):
     clean = [t for k, t in enumerate(texts) if k % 5 == 0 and not toxic[k]]
     if model is None or not clean:
         return model
-    top = in_parts(clean, lambda part: (np.arange(len(part)), model.at_least(part)[:, 0]))[1].max()
-    return replace(model, cut=float(np.clip(top + 0.02, *REJECT)))
+    chance = in_parts(clean, lambda part: (np.arange(len(part)), model.at_least(part)[:, 0]))[1]
+    return replace(model, cut=rejection_cut(chance))
+
+
+def rejection_cut(clean):
+    """The least chance that at most FALSE_RATE of the chances of clean texts reach."""
+    if len(clean) * FALSE_RATE < 1:
+        return EVEN
+    above = int(len(clean) * FALSE_RATE)
+    return float(np.nextafter(np.sort(clean)[-1 - above], np.inf, dtype=np.float64))
 
 
 def severities(docs, model, id_column="doc_id", text_column="text"):

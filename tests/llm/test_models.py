@@ -45,6 +45,16 @@ def test_toxicity_held_out(spark, tables):
     assert len(ids) + len(gone) == docs.count()
 
 
+def test_toxicity_cut_keeps_its_rate():
+    clean = np.random.default_rng(4).beta(1, 12, 200_000)
+    cuts = [toxicity.rejection_cut(clean[:n]) for n in (2_000, 20_000, 200_000)]
+    assert max(cuts) - min(cuts) < 0.06
+    for n, cut in zip((2_000, 20_000, 200_000), cuts):
+        assert 0 < (clean[:n] >= cut).mean() <= toxicity.FALSE_RATE
+    assert abs(toxicity.rejection_cut(np.append(clean[:20_000], 1.0)) - cuts[1]) < 0.01
+    assert toxicity.rejection_cut(clean[:100]) == toxicity.EVEN
+
+
 def test_toxicity_gradient():
     rng = np.random.default_rng(3)
     total, t, y = rng.normal(size=6), np.array([-0.5, 1.0]), np.array([0, 1, 2, 0, 1, 2])
