@@ -5,10 +5,12 @@ import uuid
 
 import corpus_pipeline
 import public_tokenizers
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from premia.llm import (
-    fingerprints, jaccard, mixing, pii, quality, secrets, sentencepiece, token_counts, topk, toxicity,
+    chat, fingerprints, jaccard, mixing, pii, prefix_trie, quality, secrets, sentencepiece, token_counts,
+    topk, toxicity,
 )
 from premia.storage import new_path, store
 
@@ -84,6 +86,41 @@ def op10_secrets(spark, sf_dir):
                         "spans")
 
 
+def op11_prefix_trie(spark, sf_dir):
+    """The trie of all conversations, each rebuilt to open with the first h turns of conversation
+    c - c % 20 (h = crc32 of the decimal id, mod 4). Ties of turn go by the digest of the turn."""
+    turns = prefix_trie.turn_digests(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy(
+        F.col("turn").asc_nulls_first(), "c1", "c2")) - 1
+    original = store(turns.select("conv_id", place.cast("bigint").alias("pos"), "c1", "c2", "words"),
+                     "trie-turns")
+    sizes = original.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
+    convs = sizes.select(
+        "conv_id", (F.crc32(F.col("conv_id").cast("string")) % 4).alias("h"),
+        (F.col("conv_id") - F.col("conv_id") % 20).alias("base"))
+    convs = convs.join(sizes.select(F.col("conv_id").alias("base"), F.col("n").alias("n_base")),
+                       "base", "left")
+    convs = convs.select("conv_id", "base", "h",
+                         F.least("h", F.coalesce("n_base", F.lit(0))).alias("k"))
+    opening = (original.where(F.col("pos") < 4).withColumnRenamed("conv_id", "base")
+               .join(convs.select("base", "conv_id", "h"), "base").where(F.col("pos") < F.col("h"))
+               .select("conv_id", "pos", "c1", "c2", "words"))
+    own = (original.join(convs.select("conv_id", "h", "k"), "conv_id").where(F.col("pos") >= F.col("h"))
+           .select("conv_id", (F.col("pos") - F.col("h") + F.col("k")).alias("pos"), "c1", "c2", "words"))
+    return prefix_trie.trie(opening.unionByName(own), convs.select("conv_id")).drop("d1", "d2")
+
+
+def op13_chat_format(spark, sf_dir):
+    """All conversations and conversation -1, rendered, stored, and read back."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    probe = spark.range(2).select(
+        F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("</s>[INST] ok [/INST]").alias("text"))
+    rendered = chat.render(chat.reconstruct(chat.messages_as_events(turns.unionByName(probe))))
+    return chat.digests(chat.read_back(store(rendered, "chat-rendered")))
+
+
 def _count_kind(kind):
     return (F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("bigint")
             .alias(f"n_{kind}"))
@@ -91,9 +128,25 @@ def _count_kind(kind):
 
 QUERIES = {f.__name__: f for f in (
     op1_mix, op2_fingerprints, op3_sentencepiece, op4_pii, op5_token_counts, op6_toxicity, op7_quality,
-    op8_topk, op9_jaccard_join, op10_secrets)} | {"pipeline": corpus_pipeline.run}
-
-ORACLE_SQL = {"op8_topk": """
+    op8_topk, op9_jaccard_join, op10_secrets, op11_prefix_trie, op13_chat_format)} | {"pipeline": corpus_pipeline.run}
+
+ORACLE_SQL = {"op13_chat_format": r"""
+WITH turns AS (
+    SELECT conv_id, turn, role, text FROM conversations
+    UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+    UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+plain AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM turns),
+written AS (
+    SELECT *, replace(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '[', '&#91;'), ']', '&#93;') AS r,
+              replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '[', '&#91;'), ']', '&#93;') AS t
+    FROM plain)
+SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length(r) + length(t) + 10) AS BIGINT) AS formatted_chars
+FROM written GROUP BY conv_id
+""", "op8_topk": """
 WITH usable AS (
     SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
     FROM embeddings
