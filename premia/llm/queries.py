@@ -2,6 +2,7 @@
 
 import tempfile
 import uuid
+import zlib
 
 import corpus_pipeline
 import public_tokenizers
@@ -9,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from premia.llm import (
-    chat, fingerprints, jaccard, mixing, pii, prefix_trie, quality, secrets, sentencepiece, token_counts,
+    chat, fingerprints, jaccard, mixing, pii, prefix_trie, quality, runs, secrets, sentencepiece, token_counts,
     topk, toxicity,
 )
 from premia.storage import new_path, store
@@ -110,6 +111,26 @@ def op11_prefix_trie(spark, sf_dir):
     return prefix_trie.trie(opening.unionByName(own), convs.select("conv_id")).drop("d1", "d2")
 
 
+def op12_runs(spark, sf_dir):
+    """Runs of every whole text, words first repeated as ``planted`` says."""
+    return runs.run_table(_documents(spark, sf_dir), planted)
+
+
+def planted(doc_id, words):
+    """h = crc32 of the decimal id: where h % 10 is 0, words from a = g % n on repeat the stretch
+    of p = 1 + (n - a) // (3 + g % 8) words that starts at a (g = h // 10). A null id keeps its words."""
+    n = len(words)
+    if doc_id is None or n == 0:
+        return words
+    h = zlib.crc32(str(doc_id).encode())
+    g = h // 10
+    if h % 10:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+
+
 def op13_chat_format(spark, sf_dir):
     """All conversations and conversation -1, rendered, stored, and read back."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
@@ -128,7 +149,7 @@ def _count_kind(kind):
 
 QUERIES = {f.__name__: f for f in (
     op1_mix, op2_fingerprints, op3_sentencepiece, op4_pii, op5_token_counts, op6_toxicity, op7_quality,
-    op8_topk, op9_jaccard_join, op10_secrets, op11_prefix_trie, op13_chat_format)} | {"pipeline": corpus_pipeline.run}
+    op8_topk, op9_jaccard_join, op10_secrets, op11_prefix_trie, op12_runs, op13_chat_format)} | {"pipeline": corpus_pipeline.run}
 
 ORACLE_SQL = {"op13_chat_format": r"""
 WITH turns AS (
