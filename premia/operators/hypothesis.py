@@ -1,5 +1,8 @@
 """Group comparison and normality tests; every test is one grouped aggregate plus formulas."""
 
+import math
+from functools import reduce
+
 from pyspark.ml.stat import KolmogorovSmirnovTest
 from pyspark.sql import functions as F
 
@@ -98,10 +101,12 @@ def anova_groups(df, value, group):
 def normality_test(df, value, kind="shapiro", alpha=0.05):
     """One row (test_type, n, statistic, p_value, is_normal, conclusion); empty below 3 values.
 
-    ``shapiro`` is the Shapiro-Francia form, which is defined for any number of values.
+    ``shapiro`` is the Shapiro-Francia form, which is defined for any number of values;
+    ``shapiro_wilk`` is Shapiro and Wilk's W with Royston's weights and p.
     """
     values = df.where(F.col(value).isNotNull())
     test = {"shapiro": lambda: _shapiro(values, value),
+            "shapiro_wilk": lambda: shapiro_wilk(values, value),
             "kstest": lambda: _kolmogorov_smirnov(values, value)}.get(
                 kind, lambda: _dagostino(values, value))
     return test().where("n >= 3").select(
@@ -184,6 +189,92 @@ def _shapiro(values, value):
         F.coalesce(normal_upper("z"), F.lit(1.0)).alias("p_value"))
 
 
+# Royston's (1992, 1995) polynomials in u = 1 / sqrt(n), lowest power first, for the
+# two outermost weights, and for the mean and log spread of the normalised W.
+_LAST = (0.0, 0.221157, -0.147981, -2.071190, 4.434685, -2.706056)
+_NEXT = (0.0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633)
+_SMALL_GAMMA = (-2.273, 0.459)
+_SMALL_MEAN = (0.5440, -0.39978, 0.025054, -0.0006714)
+_SMALL_SPREAD = (1.3822, -0.77857, 0.062767, -0.0020322)
+_LARGE_MEAN = (-1.5861, -0.31082, -0.083751, 0.0038915)
+_LARGE_SPREAD = (-0.4803, -0.082676, 0.0030302)
+#: Ranks of one run of equal values are scored in chunks of this many, so no row holds more.
+RANK_CHUNK = 4096
+
+
+def _poly(x, coefficients):
+    return reduce(lambda acc, c: acc * x + c, reversed(coefficients[:-1]), F.lit(coefficients[-1]))
+
+
+def shapiro_wilk(values, value):
+    """Shapiro and Wilk's W over all values, weights by Royston's approximation (AS R94).
+
+    Normal scores m_i = Phi^-1((i - 3/8) / (n + 1/4)) of every rank i; the two outermost weights
+    on each side are Royston's polynomials, the others m_i scaled to unit length; for n = 3 the
+    weights are exactly +-sqrt(1/2). W = (sum a_i x_(i))^2 / sum (x - mean)^2, and p is Royston's
+    normal approximation of log(1 - W) (n >= 12) or of its transform for 4 <= n <= 11, and the
+    exact law for n = 3. Ranks come from one range-partitioned pass over distinct values with
+    their counts; a run of equal values takes the ranks it covers, scored in chunks of at most
+    RANK_CHUNK, so a hot value is never one array. Below 3 values the result is empty.
+    """
+    counts = (values.groupBy(F.col(value).cast("double").alias("v"))
+              .agg(F.count("*").alias("rows")))
+    ranked = rows_before(counts, ["v"], weight="rows")
+    n = F.col("n").cast("double")
+    chunks = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("rows") - 1) / RANK_CHUNK))
+    pieces = ranked.select("v", "rows", "below", "n", F.explode(chunks).alias("chunk"))
+    first = F.col("below") + 1 + F.col("chunk") * RANK_CHUNK
+    last = F.least(F.col("below") + F.col("rows"), first + RANK_CHUNK - 1)
+    score = lambda i: normal_quantile((i - 0.375) / (n + 0.25))
+    scores = F.transform(F.sequence(first, last), lambda i: score(i.cast("double")))
+    pieces = pieces.select("v", "n", "below", "rows", F.aggregate(scores, F.lit(0.0), lambda a, m: a + m)
+                           .alias("m"), F.aggregate(scores, F.lit(0.0), lambda a, m: a + m * m).alias("mm"))
+    # The values at ranks 1, 2, n - 1 and n, whose weights are the polynomials.
+    at = lambda r: F.max(F.when((F.col("below") < r) & (r <= F.col("below") + F.col("rows")),
+                                F.col("v")))
+    whole = pieces.agg(
+        F.max("n").alias("n"), F.sum(F.col("v") * F.col("m")).alias("vm"), F.sum("mm").alias("mm"),
+        at(F.lit(1)).alias("x1"), at(F.lit(2)).alias("x2"),
+        at(F.col("n") - 1).alias("y2"), at(F.col("n")).alias("y1"))
+    # Squares about the mean, the mean a scalar subquery over the counted values.
+    mean = counts.select(F.sum(F.col("v") * F.col("rows")) / F.sum("rows")).scalar()
+    spread = counts.agg(F.sum(F.col("rows") * (F.col("v") - mean) ** 2).alias("ss"))
+    row = whole.withColumn("ss", spread.scalar())
+    return _shapiro_wilk_p(row)
+
+
+def _shapiro_wilk_p(row):
+    n = F.col("n").cast("double")
+    score = lambda i: normal_quantile((i - 0.375) / (n + 0.25))
+    u, norm = 1 / F.sqrt(n), F.sqrt(F.col("mm"))
+    last, second = score(n), score(n - 1)
+    a_last = last / norm + _poly(u, _LAST)
+    a_second = second / norm + _poly(u, _NEXT)
+    outer = F.col("y1") - F.col("x1")
+    inner = F.col("y2") - F.col("x2")
+    wide = F.sqrt((F.col("mm") - 2 * last * last - 2 * second * second)
+                  / (1 - 2 * a_last * a_last - 2 * a_second * a_second))
+    narrow = F.sqrt((F.col("mm") - 2 * last * last) / (1 - 2 * a_last * a_last))
+    weighted = (F.when(F.col("n") == 3, F.sqrt(F.lit(0.5)) * outer)
+                .when(F.col("n") <= 5, (F.col("vm") - last * outer) / narrow + a_last * outer)
+                .otherwise((F.col("vm") - last * outer - second * inner) / wide
+                           + a_last * outer + a_second * inner))
+    w = F.when(F.col("ss") > 0, F.least(F.lit(1.0), weighted * weighted / F.col("ss")))
+    row = row.withColumn("statistic", F.coalesce(w, F.lit(1.0)))
+    tail = F.log(1 - F.col("statistic"))
+    gamma = _poly(n, _SMALL_GAMMA)
+    small = (-F.log(gamma - tail) - _poly(n, _SMALL_MEAN)) / F.exp(_poly(n, _SMALL_SPREAD))
+    log_n = F.log(n)
+    large = (tail - _poly(log_n, _LARGE_MEAN)) / F.exp(_poly(log_n, _LARGE_SPREAD))
+    z = F.when(F.col("statistic") >= 1, None).when(F.col("n") >= 12, large).when(tail < gamma, small)
+    exact = F.greatest(F.lit(0.0), 6 / F.lit(math.pi) * (F.asin(F.sqrt("statistic")) - math.pi / 3))
+    p = (F.when(F.col("statistic") >= 1, F.lit(1.0)).when(F.col("n") == 3, exact)
+         .when((F.col("n") <= 11) & (tail >= gamma), F.lit(1e-99)).otherwise(normal_upper("z")))
+    return row.withColumn("z", z).select(
+        F.lit("Shapiro-Wilk检验").alias("test_type"), F.col("n").cast("long").alias("n"),
+        "statistic", p.alias("p_value"))
+
+
 def compare_by_category(df, value="irr", group="product_category", alpha=0.05):
     """Statistics per category, the fitting test, and the range of the means.
 

@@ -5,6 +5,7 @@ Fixed values in the SQL below: test names, labels and conclusions.
 
 from pyspark.sql import functions as F
 
+from premia.functions import special
 from premia.operators import correlation, hypothesis, regression
 from premia.registry import base
 from premia.registry.base import Query, define, sql_f_p, sql_t_p
@@ -13,6 +14,74 @@ from premia.registry.trending import sql_pooled
 from premia.sources import views
 
 
+def _sql_ratio(x, coefficients):
+    above, below = ("(" + " + ".join(f"({c}) * pow({x}, {len(cs) - 1 - k})" for k, c in enumerate(cs))
+                    + ")" for cs in coefficients)
+    return f"({above} / {below})"
+
+
+def sql_normal_quantile(p):
+    """Acklam's inverse of the normal law, as the Spark side computes it."""
+    tail = lambda q: _sql_ratio(f"sqrt(-2 * ln({q}))", special._TAIL)
+    d = f"(({p}) - 0.5)"
+    return (f"(CASE WHEN ({p}) < 0.02425 THEN {tail(p)} WHEN ({p}) > 1 - 0.02425 THEN -{tail(f'1 - ({p})')}"
+            f" ELSE {d} * {_sql_ratio(f'{d} * {d}', special._MIDDLE)} END)")
+
+
+def sql_normal_upper(z):
+    half = f"(0.5 * {sql_t_p(z, '1e7')})"
+    return f"(CASE WHEN ({z}) >= 0 THEN {half} ELSE 1 - {half} END)"
+
+
+def _sql_poly(x, coefficients):
+    return "(" + " + ".join(f"({c}) * pow({x}, {k})" for k, c in enumerate(coefficients)) + ")"
+
+
+def sql_shapiro_wilk(table, column):
+    """W and p of Shapiro and Wilk with Royston's weights: each row its own rank."""
+    score = lambda i: sql_normal_quantile(f"(({i}) - 0.375) / (n + 0.25)")
+    u, norm = "(1 / sqrt(n))", "sqrt(mm)"
+    last, second = score("n"), score("n - 1")
+    a_last = f"({last} / {norm} + {_sql_poly(u, hypothesis._LAST)})"
+    a_second = f"({second} / {norm} + {_sql_poly(u, hypothesis._NEXT)})"
+    outer, inner = "(y1 - x1)", "(y2 - x2)"
+    wide = (f"sqrt((mm - 2 * {last} * {last} - 2 * {second} * {second}) / "
+            f"(1 - 2 * {a_last} * {a_last} - 2 * {a_second} * {a_second}))")
+    narrow = f"sqrt((mm - 2 * {last} * {last}) / (1 - 2 * {a_last} * {a_last}))"
+    weighted = (f"(CASE WHEN n = 3 THEN sqrt(0.5) * {outer} "
+                f"WHEN n <= 5 THEN (vm - {last} * {outer}) / {narrow} + {a_last} * {outer} "
+                f"ELSE (vm - {last} * {outer} - {second} * {inner}) / {wide} + {a_last} * {outer} "
+                f"+ {a_second} * {inner} END)")
+    gamma = _sql_poly("n", hypothesis._SMALL_GAMMA)
+    small = (f"((-ln({gamma} - ln(1 - statistic)) - {_sql_poly('n', hypothesis._SMALL_MEAN)}) / "
+             f"exp({_sql_poly('n', hypothesis._SMALL_SPREAD)}))")
+    large = (f"((ln(1 - statistic) - {_sql_poly('ln(n)', hypothesis._LARGE_MEAN)}) / "
+             f"exp({_sql_poly('ln(n)', hypothesis._LARGE_SPREAD)}))")
+    return f"""
+      SELECT 'Shapiro-Wilk检验' AS test_type, n, statistic, p_value,
+        p_value >= 0.05 AS is_normal, CASE WHEN p_value >= 0.05 THEN '数据服从正态分布'
+          ELSE '数据不服从正态分布' END AS conclusion FROM (
+      SELECT n, statistic, CASE WHEN statistic >= 1 THEN 1.0
+          WHEN n = 3 THEN greatest(0.0, 6 / pi() * (asin(sqrt(statistic)) - pi() / 3))
+          WHEN n <= 11 AND ln(1 - statistic) >= {gamma} THEN 1e-99
+          WHEN n <= 11 THEN {sql_normal_upper(small)} ELSE {sql_normal_upper(large)} END AS p_value
+      FROM (
+        SELECT n, coalesce(CASE WHEN ss > 0 THEN least(1.0, {weighted} * {weighted} / ss) END, 1.0)
+          AS statistic
+        FROM (
+          SELECT CAST(max(n) AS DOUBLE) AS n, sum(m * v) AS vm, sum(m * m) AS mm,
+            max(v) FILTER (WHERE i = 1) AS x1, max(v) FILTER (WHERE i = 2) AS x2,
+            max(v) FILTER (WHERE i = n - 1) AS y2, max(v) FILTER (WHERE i = n) AS y1,
+            max(ss) AS ss
+          FROM (
+            SELECT v, i, n, {sql_normal_quantile("(i - 0.375) / (n + 0.25)")} AS m, ss FROM (
+              SELECT v, row_number() OVER (ORDER BY v) AS i, count(*) OVER () AS n,
+                (SELECT sum(pow(CAST({column} AS DOUBLE) - (SELECT avg(CAST({column} AS DOUBLE))
+                   FROM {table}), 2)) FROM {table}) AS ss
+              FROM (SELECT CAST({column} AS DOUBLE) AS v FROM {table} WHERE {column} IS NOT NULL))))
+        WHERE n >= 3))"""
+
+
 def _table(name, operator, *args, **kwargs):
     return lambda spark, sf_dir: operator(views.given(spark, sf_dir, name), *args, **kwargs)
 
@@ -269,6 +338,11 @@ QUERIES = [
           NORMAL),
     Query("shapiro_francia", _table("part", hypothesis.normality_test, "p_retailprice", "shapiro"),
           NORMAL),
+    Query("shapiro_wilk", _table("part", hypothesis.normality_test, "p_retailprice", "shapiro_wilk"),
+          NORMAL, sql_shapiro_wilk("part", "p_retailprice")),
+    Query("shapiro_wilk_orders", _table("orders", hypothesis.normality_test, "o_totalprice",
+                                        "shapiro_wilk"),
+          NORMAL, sql_shapiro_wilk("orders", "o_totalprice")),
     Query("irr_by_category", _by_category("descriptive"),
           "product_category:s n:l mean:6 std:6 median:6 min:6 max:6", """
       SELECT product_category, count(irr) AS n, avg(irr) AS mean, stddev_samp(irr) AS std,
