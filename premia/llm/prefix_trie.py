@@ -37,11 +37,14 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from premia.storage import store
+
 WORD = r"[^\x20\x09-\x0D]+"
 _MOD = 1 << 62
 _SEEDS = (7919, 104729)
 EMPTY_SHA256 = hashlib.sha256(b"").hexdigest()
 _KEY = ["depth", "d1", "d2"]
+HOT_SHARE = 1000
 
 
 def turn_digests(turns):
@@ -90,14 +93,31 @@ def nodes(members):
     """Per node: smallest member ``owner`` and greatest member length ``longest``, after checking
     that no two prefixes share a digest."""
     grouped = members.groupBy(*_KEY).agg(
-        F.min("conv_id").alias("owner"), F.max("length").alias("longest"),
+        F.min("conv_id").alias("owner"), F.max("length").alias("longest"), F.count(F.lit(1)).alias("n"),
         *[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("p1", "p2", "x1")])
     clash = F.lit(False)
     for c in ("p1", "p2", "x1"):
         clash = clash | (F.col(f"min_{c}") != F.col(f"max_{c}"))
     checked = F.when(clash, F.raise_error(F.lit("two prefixes share a digest"))).otherwise(
         F.col("owner"))
-    return grouped.select(*_KEY, checked.alias("owner"), "longest")
+    return grouped.select(*_KEY, checked.alias("owner"), "longest", "n")
+
+
+def with_owners(members):
+    """``members`` with ``owner`` and ``longest`` of their node. Nodes with more than a
+    ``1 / HOT_SHARE`` part of all memberships (the root, a common opening, many copies of one
+    conversation) are at most HOT_SHARE rows: they are broadcast and met in every task; the others
+    join by key, each with at most that part of the rows."""
+    table = nodes(members)
+    total = members.select(F.count(F.lit(1))).scalar()
+    hot = table.where(F.col("n") * HOT_SHARE > total).select(
+        *_KEY, F.col("owner").alias("hot_owner"), F.col("longest").alias("hot_longest"))
+    tagged = members.join(F.broadcast(hot), _KEY, "left")
+    warm = tagged.where(F.col("hot_owner").isNotNull()).select(
+        *members.columns, F.col("hot_owner").alias("owner"), F.col("hot_longest").alias("longest"))
+    cold = tagged.where(F.col("hot_owner").isNull()).select(*members.columns).join(
+        table.where(F.col("n") * HOT_SHARE <= total).drop("n"), _KEY)
+    return warm.unionByName(cold)
 
 
 def trie(turns, convs):
@@ -107,8 +127,9 @@ def trie(turns, convs):
     Returns per node ``conv_id`` (smallest member), ``depth``, ``parent_conv_id`` (root: null),
     ``n_convs``, ``n_children``, ``n_leaves``, ``saved_tokens``, ``ends_sha256``, and the digest
     ``d1``, ``d2``."""
-    members = memberships(turns, convs)
-    rows = members.join(nodes(members), _KEY)
+    # Read by four branches below: stored once rather than windowed four times.
+    members = store(memberships(turns, convs), "trie-members")
+    rows = with_owners(members)
     by_conv = Window.partitionBy("conv_id")
     # f: the first depth a conversation owns (length + 1 if none); its words from there on.
     first_owned = F.coalesce(F.min(F.when(F.col("owner") == F.col("conv_id"), F.col("depth")))
