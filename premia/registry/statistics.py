@@ -82,6 +82,37 @@ def sql_shapiro_wilk(table, column):
         WHERE n >= 3))"""
 
 
+def sql_kolmogorov_upper(lam):
+    above = (f"(2 * list_sum(list_transform(range(1, 41), lambda k: "
+             f"CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END * exp(-2 * k * k * ({lam}) * ({lam})))))")
+    below = (f"(1 - sqrt(2 * pi()) / ({lam}) * list_sum(list_transform(range(1, 41), lambda k: "
+             f"exp(-(2 * k - 1) * (2 * k - 1) * pi() * pi() / (8 * ({lam}) * ({lam}))))))")
+    return (f"(CASE WHEN ({lam}) <= 0 THEN 1.0 WHEN ({lam}) < 1 THEN {below} "
+            f"ELSE least(1.0, greatest(0.0, {above})) END)")
+
+
+def sql_kolmogorov_smirnov(table, column):
+    """D against the normal law with the sample's mean and deviation, and Kolmogorov's p."""
+    law = f"(1 - {sql_normal_upper('((v - mean) / std)')})"
+    lam = "((sqrt(n) + 0.12 + 0.11 / sqrt(n)) * statistic)"
+    return f"""
+      SELECT 'Kolmogorov-Smirnov检验' AS test_type, n, statistic, p_value,
+        p_value >= 0.05 AS is_normal, CASE WHEN p_value >= 0.05 THEN '数据服从正态分布'
+          ELSE '数据不服从正态分布' END AS conclusion FROM (
+      SELECT n, statistic, {sql_kolmogorov_upper(lam)} AS p_value FROM (
+        SELECT max(n) AS n, max(greatest(abs((below + rows) / n - {law}), abs(below / n - {law})))
+          AS statistic
+        FROM (
+          SELECT v, rows, sum(rows) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+              AS b0, coalesce(b0, 0) AS below, sum(rows) OVER () AS n,
+            (SELECT avg(CAST({column} AS DOUBLE)) FROM {table}) AS mean,
+            (SELECT stddev_samp(CAST({column} AS DOUBLE)) FROM {table}) AS std
+          FROM (SELECT CAST({column} AS DOUBLE) AS v, count(*) AS rows FROM {table}
+                WHERE {column} IS NOT NULL GROUP BY 1))
+        WHERE std > 0)
+      WHERE n >= 3)"""
+
+
 def _table(name, operator, *args, **kwargs):
     return lambda spark, sf_dir: operator(views.given(spark, sf_dir, name), *args, **kwargs)
 
@@ -335,7 +366,9 @@ QUERIES = [
           ELSE '数据不服从正态分布' END AS conclusion FROM ({K2})"""),
     Query("skew_kurtosis_scores", skew_scores, "n:l z_skew:6 z_kurtosis:6", K2),
     Query("ks_normality", _table("orders", hypothesis.normality_test, "o_totalprice", "kstest"),
-          NORMAL),
+          NORMAL, sql_kolmogorov_smirnov("orders", "o_totalprice")),
+    Query("ks_normality_part", _table("part", hypothesis.normality_test, "p_retailprice", "kstest"),
+          NORMAL, sql_kolmogorov_smirnov("part", "p_retailprice")),
     Query("shapiro_francia", _table("part", hypothesis.normality_test, "p_retailprice", "shapiro"),
           NORMAL),
     Query("shapiro_wilk", _table("part", hypothesis.normality_test, "p_retailprice", "shapiro_wilk"),
