@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from premia.functions import labels
 from premia.functions.special import (
-    chi2_upper_2df, f_upper, normal_quantile, normal_upper, t_two_sided,
+    chi2_upper_2df, f_upper, normal_cdf, normal_quantile, normal_upper, t_two_sided,
 )
 from premia.operators.aggregates import describe
 from premia.operators.ordering import rows_before
@@ -159,7 +159,7 @@ def _kolmogorov_smirnov(values, value):
     mean, std = moments.select("mean").scalar(), moments.select("std").scalar()
     counts = numbers.groupBy("v").agg(F.count("*").alias("rows"))
     ranked = rows_before(counts, ["v"], weight="rows").withColumn("z", (F.col("v") - mean) / std)
-    law = 1 - normal_upper("z")
+    law = normal_cdf(F.col("z"))
     gap = F.greatest(F.abs((F.col("below") + F.col("rows")) / F.col("n") - law),
                      F.abs(F.col("below") / F.col("n") - law))
     row = ranked.where(F.lit(std) > 0).agg(F.max("n").alias("n"), F.max(gap).alias("statistic"))
