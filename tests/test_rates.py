@@ -181,3 +181,25 @@ def test_tail_of_very_many_rows(spark):
                                 f_upper("3.841458820694124D", "1", "1e13").alias("f")).first()
     assert row.t == pytest.approx(0.05, abs=1e-7) and row.f == pytest.approx(0.05, abs=1e-7)
     assert spark.range(1).select(t_two_sided("CAST(NULL AS DOUBLE)", "5")).first()[0] is None
+
+
+def test_one_sign_change_by_bisection_in_linear_time():
+    import time
+
+    import numpy as np
+
+    from premia.functions import solvers
+    flows = np.concatenate([-np.ones(1000), np.full(4000, 0.6)])[None, :]
+    assert solvers.sign_changes(flows).tolist() == [1]
+    started = time.perf_counter()
+    rate = solvers._single_root_rates(flows)[0]
+    assert time.perf_counter() - started < 0.1
+    assert abs((flows[0] / (1 + rate) ** np.arange(5000)).sum()) < 1e-8
+    random = np.random.default_rng(9)
+    for _ in range(200):
+        m = int(random.integers(2, 40))
+        paid = int(random.integers(1, m))
+        row = np.concatenate([-random.uniform(1, 9, paid), random.uniform(0, 9, m - paid)])
+        row[-1] += 1
+        assert np.isclose(solvers._single_root_rates(row[None, :])[0],
+                          solvers._nearest_zero_rates(row[None, :])[0], rtol=1e-9, atol=1e-12)
