@@ -2,6 +2,7 @@
 
 from functools import reduce
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from premia.functions.columns import parse_date
@@ -146,25 +147,43 @@ def iqr_outliers(df, table, factor=1.5, min_values=10, columns=None):
         F.col("outliers") / F.col("n"), F.col("lower"), F.col("upper")).alias("m")).select("m.*")
 
 
+#: Salts over which the smallest ids of one table are first taken, so no task sorts a table's ids.
+SAMPLE_SALTS = 64
+
+
 def orphans(child, policy, table, samples=5):
-    """Distinct child policy ids without a policy, with the smallest ids as examples.
+    """Distinct child policy ids without a policy, with the smallest ids as examples (no row
+    where there are none)."""
+    return cross_table_integrity(policy, samples=samples, **{table: child})
+
+
+def cross_table_integrity(policy, samples=5, **children):
+    """Orphans of every child table in one plan; tables without any are left out.
 
-    The examples come from a top-k and the count from an aggregate, so no task holds the ids.
+    The distinct (id, table) pairs of all children meet the parents in one anti join. The
+    ``samples`` smallest ids of a table are found within salted parts first (a window over
+    (table, salt)), so the final aggregate sees at most ``samples`` ids a salt and table; it also
+    counts all orphans. A NULL child id has no parent and counts, but is no example.
     """
+    tagged = [child.select("policy_id", F.lit(name).alias("table"))
+              for name, child in children.items()
+              if child is not None and "policy_id" in child.columns]
+    if not tagged:
+        return policy.sparkSession.createDataFrame([], "table string, orphan_count long, "
+                                                       "sample_ids array<" + policy.schema["policy_id"]
+                                                       .dataType.simpleString() + ">")
+    ids = reduce(lambda a, b: a.unionByName(b), tagged).distinct()
     parents = policy.select("policy_id").where(F.col("policy_id").isNotNull()).distinct()
-    lost = child.select("policy_id").distinct().join(parents, "policy_id", "left_anti")
-    named = lost.where(F.col("policy_id").isNotNull())
-    first = named.orderBy("policy_id").limit(samples).agg(
-        F.sort_array(F.collect_list("policy_id")).alias("ids")).scalar()
-    return lost.agg(F.count("*").alias("orphan_count")).select(
-        F.lit(table).alias("table"), "orphan_count", first.alias("sample_ids"))
-
-
-def cross_table_integrity(policy, **children):
-    """Orphans of every child table; tables without any are left out."""
-    found = [orphans(child, policy, name) for name, child in children.items()
-             if child is not None and "policy_id" in child.columns]
-    return reduce(lambda a, b: a.unionByName(b), found).where(F.col("orphan_count") > 0)
+    lost = ids.join(parents, "policy_id", "left_anti")
+    salt = F.pmod(F.xxhash64("policy_id"), F.lit(SAMPLE_SALTS))
+    place = F.row_number().over(Window.partitionBy("table", salt.alias("salt")).orderBy(
+        F.col("policy_id").asc_nulls_last()))
+    first = lost.withColumn("place", place)
+    example = F.when((F.col("place") <= samples) & F.col("policy_id").isNotNull(), F.col("policy_id"))
+    found = first.groupBy("table").agg(
+        F.count(F.lit(1)).alias("orphan_count"),
+        F.slice(F.sort_array(F.collect_list(example)), 1, samples).alias("sample_ids"))
+    return found.where(F.col("orphan_count") > 0)
 
 
 def table_metrics(df, table):

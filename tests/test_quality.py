@@ -116,3 +116,16 @@ def test_comparison_from_a_zero_base(spark):
     rows = {r.metric: r for r in report.comparison(now, before, ["a", "b", "no"]).collect()}
     assert (rows["a"].change, rows["a"].pct_change) == (3, 0)
     assert rows["b"].pct_change == -50 and "no" not in rows
+
+
+def test_orphans_of_all_children_in_one_join(spark):
+    from premia.operators import quality
+    policy = spark.createDataFrame([(i,) for i in range(0, 1000, 2)] + [(None,)], "policy_id long")
+    premium = spark.createDataFrame([(i,) for i in range(3000)] + [(None,), (7,)], "policy_id long")
+    dividend = spark.createDataFrame([(i,) for i in range(0, 500, 2)], "policy_id long")
+    cash = spark.createDataFrame([(1001,), (1001,), (5,)], "policy_id long")
+    found = quality.cross_table_integrity(policy, premium=premium, dividend=dividend, cash_value=cash)
+    rows = {r.table: (r.orphan_count, r.sample_ids) for r in found.collect()}
+    assert rows == {"premium": (500 + 2000 + 1, [1, 3, 5, 7, 9]), "cash_value": (2, [5, 1001])}
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Join") == 1
