@@ -186,13 +186,77 @@ def cross_table_integrity(policy, samples=5, **children):
     return found.where(F.col("orphan_count") > 0)
 
 
-def table_metrics(df, table):
-    """All checks of one table as one long metric table."""
-    parts = [completeness(df, table), validity(df, table)]
-    if table == "policy":
-        parts.append(consistency(df, table))
-    parts.append(iqr_outliers(df, table))
-    return reduce(lambda a, b: a.unionByName(b), [p for p in parts if p is not None])
+def table_metrics(df, table, factor=1.5, min_values=10):
+    """All checks of one table as one long metric table, compiled into one aggregate.
+
+    Missing counts, range and status rules, date order, coverage ratio, outlier counts against
+    the quartile fences and the row count are all columns of a single ``agg`` over the table; the
+    fences enter it as one scalar subquery (the quartiles' own passes), duplicate ids are one keyed
+    count. An empty table gives one ``empty_table`` row. Rows with zero rule or outlier counts are
+    left out, as each single check does.
+    """
+    columns, aggs, metrics = df.columns, [F.count(F.lit(1)).alias("rows_")], []
+    rows = F.col("rows_")
+
+    def add(expression):
+        name = f"a{len(aggs)}"
+        aggs.append(expression.alias(name))
+        return F.col(name)
+
+    def emit(keep, column, check, value, rate=None, lower=None, upper=None):
+        metrics.append(F.struct((keep & (rows > 0)).alias("keep"), _metric(
+            table, column, check, value, rate, lower, upper).alias("m")))
+
+    for c in columns:
+        missing = add(F.count_if(F.col(c).isNull()))
+        emit(F.lit(True), c, "missing", missing, F.coalesce(F.try_divide(missing, rows), F.lit(0.0)))
+    emit(F.lit(True), "*", "total_cells", rows * len(columns))
+    emit(F.lit(True), "*", "total_records", rows)
+    for column, (low, high) in RANGE_RULES.get(table, {}).items():
+        if column in columns:
+            below = add(F.count_if(F.col(column) < low))
+            emit(below > 0, column, "below_min", below, lower=F.lit(low))
+            above = add(F.count_if(F.col(column) > high))
+            emit(above > 0, column, "above_max", above, upper=F.lit(high))
+    if table == "policy" and "policy_status" in columns:
+        unknown = add(F.count_if(~F.coalesce(F.col("policy_status").isin(*KNOWN_STATUSES),
+                                             F.lit(False))))
+        emit(unknown > 0, "policy_status", "invalid_value", unknown)
+    if table == "policy" and {"issue_date", "maturity_date"} <= set(columns):
+        kinds = {f.name: f.dataType for f in df.schema.fields}
+        first = parse_date(F.col("issue_date"), kinds["issue_date"])
+        last = parse_date(F.col("maturity_date"), kinds["maturity_date"])
+        issues = add(F.count_if(last <= first))
+        unreadable = add(F.count_if((first.isNull() & F.col("issue_date").isNotNull())
+                                    | (last.isNull() & F.col("maturity_date").isNotNull())))
+        emit(F.lit(True), "maturity_date", "date_issues",
+             F.when(unreadable > 0, 0).otherwise(issues))
+    if table == "policy" and {"sum_assured", "annual_premium"} <= set(columns):
+        ratio = F.try_divide(F.col("sum_assured"), F.col("annual_premium"))
+        emit(F.lit(True), "sum_assured", "ratio_issues", add(F.count_if((ratio < 1) | (ratio > 1000))))
+    numeric = numeric_columns(df)
+    if numeric:
+        # The quartiles enter once, as one column holding the scalar subquery's struct.
+        df = df.withColumn("__fences", quantiles(df, numeric, [0.25, 0.75]).select(
+            F.struct(*numeric)).scalar())
+        fences = F.col("__fences")
+        for c in numeric:
+            q1, q3 = fences[c][0], fences[c][1]
+            lower, upper = q1 - factor * (q3 - q1), q3 + factor * (q3 - q1)
+            v = F.col(c).cast("double")
+            n = add(F.count(v))
+            outliers = add(F.count_if((v < lower) | (v > upper)))
+            emit((n >= min_values) & (outliers > 0), c, "outliers", outliers, F.try_divide(outliers, n),
+                 add(F.max(lower)), add(F.max(upper)))
+    metrics.append(F.struct((rows == 0).alias("keep"), _metric(
+        table, "*", "empty_table", rows).alias("m")))
+    found = (df.agg(*aggs).select(F.explode(F.array(*metrics)).alias("x"))
+             .where(F.col("x.keep")).select("x.m.*"))
+    if table == "policy" and "policy_id" in columns:
+        found = found.unionByName(_rows(duplicate_keys(df), [
+            _metric(table, "policy_id", "duplicates", F.col("duplicates"))]).where(
+                df.agg(F.count(F.lit(1))).scalar() > 0))
+    return found
 
 
 def quality_scores(metrics):
@@ -226,11 +290,7 @@ def score(missing_rate, range_violations, duplicates, date_issues, ratio_issues,
 
 def validate_table(df, table):
     """Metrics of one table; an empty table gives one ``empty_table`` row and no score."""
-    metrics = table_metrics(df, table)
-    rows = df.agg(F.count("*")).scalar()
-    status = _rows(df.agg(F.count("*").alias("n")).where(F.col("n") == 0), [
-        _metric(table, "*", "empty_table", F.col("n"))])
-    return metrics.where(rows > 0).unionByName(status)
+    return table_metrics(df, table)
 
 
 def validate_all(policy, premium, cash_value, dividend=None):

@@ -129,3 +129,13 @@ def test_orphans_of_all_children_in_one_join(spark):
     assert rows == {"premium": (500 + 2000 + 1, [1, 3, 5, 7, 9]), "cash_value": (2, [5, 1001])}
     plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert plan.count("Join") == 1
+
+
+def test_one_aggregate_a_table(spark):
+    """All checks of a table are one aggregate over it (duplicates: one keyed count more)."""
+    df = policies(spark, ROWS)
+    metrics = quality.table_metrics(df, "policy")
+    metrics.collect()
+    plan = metrics._jdf.queryExecution().optimizedPlan().toString()
+    # the table-wide aggregate, the keyed duplicate count and its total, the row-count guard
+    assert plan.count("Aggregate [count(1) AS rows_") == 1
