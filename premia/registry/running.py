@@ -12,6 +12,7 @@ from premia.registry.calculating import FEATURES, ROLLUP
 from premia.registry.grouping import ALL, METRICS, measures
 from premia.registry.statistics import PAIR, TTEST, sql_pair, sql_ttest
 from premia.sources import views
+from premia.storage import store
 
 
 def _tables(spark, sf_dir):
@@ -24,17 +25,21 @@ def full_run(spark, sf_dir):
 
 
 def full_run_tables(spark, sf_dir):
-    """Every table of every stage of one run, each computed in full: (stage, name, rows)."""
+    """Every table of every stage of one run, each computed in full: (stage, name, rows,
+    checksum), the checksum an exclusive or of the hashes of all columns of all rows."""
     found = stages.full_run(_tables(spark, sf_dir), views.AS_OF_YEAR, views.CATEGORIES)
     named = [(stage, name, df) for stage, tables in found.items() if isinstance(tables, dict)
              for name, df in tables.items()] + [("calculate", "returns", found["returns"])]
     counts = []
     for stage, name, df in named:
-        # all columns take part in the count, so that none is pruned away
-        content = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
-        counts.append(df.select(content.alias("content")).agg(
+        # Each table is written once to the shared folder (a job of its own, so no plan holds
+        # the whole run) and read back; the manifest row is a checksum of all its columns of
+        # every row, so each column is computed, none pruned away.
+        written = store(df, f"run-{stage}-{name}")
+        content = F.xxhash64(*[F.col(f"`{c}`") for c in written.columns])
+        counts.append(written.select(content.alias("content")).agg(
             F.lit(stage).alias("stage"), F.lit(name).alias("name"),
-            F.count("content").alias("rows")))
+            F.count("content").alias("rows"), F.bit_xor("content").alias("checksum")))
     return reduce(DataFrame.unionByName, counts)
 
 
@@ -67,7 +72,7 @@ PRODUCT_KINDS, PRODUCT_SQL = measures(METRICS, ALL)
 QUERIES = [
     Query("full_run", full_run, f"product_category:s issue_year:i {KINDS}",
           f"SELECT product_category, issue_year, {SQL} FROM returns GROUP BY ALL", "returns"),
-    Query("full_run_tables", full_run_tables, "stage:s name:s rows:l"),
+    Query("full_run_tables", full_run_tables, "stage:s name:s rows:l checksum:l"),
     Query("transform_stage", transform_stage, f"{FEATURES} {ROLLUP} total_account_value:4",
           "SELECT * FROM wide", "wide"),
     Query("analyze_stage", analyze_stage, f"product_category:s {PRODUCT_KINDS}",
