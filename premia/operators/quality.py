@@ -192,8 +192,9 @@ def table_metrics(df, table, factor=1.5, min_values=10):
     Missing counts, range and status rules, date order, coverage ratio, outlier counts against
     the quartile fences and the row count are all columns of a single ``agg`` over the table; the
     fences enter it as one scalar subquery (the quartiles' own passes), duplicate ids are one keyed
-    count. An empty table gives one ``empty_table`` row. Rows with zero rule or outlier counts are
-    left out, as each single check does.
+    count. An empty table gives one ``empty_table`` row, and each required column the table lacks
+    a ``missing_column`` row with value 1. Rows with zero rule or outlier counts are left out, as
+    each single check does.
     """
     columns, aggs, metrics = df.columns, [F.count(F.lit(1)).alias("rows_")], []
     rows = F.col("rows_")
@@ -250,6 +251,9 @@ def table_metrics(df, table, factor=1.5, min_values=10):
                  add(F.max(lower)), add(F.max(upper)))
     metrics.append(F.struct((rows == 0).alias("keep"), _metric(
         table, "*", "empty_table", rows).alias("m")))
+    for column in missing_required_columns(df, table):  # known from the schema, empty or not
+        metrics.append(F.struct(F.lit(True).alias("keep"), _metric(
+            table, column, "missing_column", F.lit(1)).alias("m")))
     found = (df.agg(*aggs).select(F.explode(F.array(*metrics)).alias("x"))
              .where(F.col("x.keep")).select("x.m.*"))
     if table == "policy" and "policy_id" in columns:

@@ -29,6 +29,15 @@ def completeness(spark, sf_dir):
     return quality.completeness(policy_with_gaps(spark, sf_dir), "policy")
 
 
+def required_columns(spark, sf_dir):
+    """Checks of the premium and dividend tables as given to the model without their dates."""
+    premium = views.premium(spark, sf_dir).drop("payment_date")
+    dividend = views.dividend(spark, sf_dir).drop("dividend_date", "policy_id")
+    found = quality.validate_table(premium, "premium").unionByName(
+        quality.validate_table(dividend, "dividend"))
+    return found.where(F.col("check") == "missing_column")
+
+
 def critical_missing(spark, sf_dir):
     return quality.critical_missing(completeness(spark, sf_dir))
 
@@ -267,6 +276,11 @@ QUERIES = [
     metric_query("iqr_outliers", iqr_outliers, EVENT_FENCES, "", FENCE_KINDS),
     metric_query("iqr_outliers_selection", iqr_outliers_selection, EVENT_FENCES, "",
                  FENCE_KINDS),
+    metric_query("required_columns", required_columns, """
+      SELECT * FROM (VALUES ('premium', 'payment_date', 'missing_column', 1, NULL),
+        ('dividend', 'policy_id', 'missing_column', 1, NULL),
+        ('dividend', 'dividend_date', 'missing_column', 1, NULL))
+        AS t("table", "column", "check", value, rate)"""),
     Query("orphans", orphans, "table:s orphan_count:l sample_ids:s", sql_orphans("clean_policy"),
           "clean_policy premium cash_value dividend"),
     metric_query("validate_policy", _one_table("policy", views.policy),

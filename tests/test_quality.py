@@ -139,3 +139,9 @@ def test_one_aggregate_a_table(spark):
     plan = metrics._jdf.queryExecution().optimizedPlan().toString()
     # the table-wide aggregate, the keyed duplicate count and its total, the row-count guard
     assert plan.count("Aggregate [count(1) AS rows_") == 1
+
+
+def test_missing_required_column_is_reported(spark):
+    df = policies(spark, ROWS).drop("policy_id")
+    found = quality.validate_table(df, "policy").where("check = 'missing_column'").collect()
+    assert [(r.column, r.value) for r in found] == [("policy_id", 1)]
