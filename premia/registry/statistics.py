@@ -233,7 +233,10 @@ def sql_moments(source, value, group):
 def sql_anova(source, value, group):
     p = sql_f_p("f_statistic", "number_of_groups - 1", "rows_ - number_of_groups")
     return f"""
-      SELECT *, p_value < 0.05 AS significant FROM (SELECT *, {p} AS p_value FROM (
+      SELECT *, p_value < 0.05 AS significant,
+        CASE WHEN p_value < 0.05 THEN '在α=0.05水平下，各组均值存在显著差异，建议进行事后多重比较'
+          WHEN p_value IS NOT NULL THEN '在α=0.05水平下，各组均值无显著差异' END AS conclusion
+      FROM (SELECT *, {p} AS p_value FROM (
         SELECT k AS number_of_groups, n AS rows_, (ssb / (k - 1)) / (ssw / (n - k)) AS f_statistic,
           ssb_all / (ssb_all + ssw) AS eta_squared
         FROM (SELECT count(*) FILTER (n >= 2) AS k, sum(n) FILTER (n >= 2) AS n,
@@ -336,7 +339,7 @@ PAIR = ("method:s variable1:s variable2:s n:l correlation:6 p_value:6 r_squared:
         "strength:s direction:s")
 TTEST = ("group1:s n1:l mean1:6 std1:6 group2:s n2:l mean2:6 std2:6 mean_difference:6 "
          "t_statistic:6 p_value:6 cohen_d:6 significant:b conclusion:s")
-ANOVA = "number_of_groups:l f_statistic:6 p_value:6 eta_squared:6 significant:b"
+ANOVA = "number_of_groups:l f_statistic:6 p_value:6 eta_squared:6 significant:b conclusion:s"
 MATRIX = "var1:s var2:s n:l correlation:6 p_value:6 notable:b strong:b"
 NORMAL = "test_type:s n:l statistic:6 p_value:6 is_normal:b conclusion:s"
 TAX = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -451,8 +454,15 @@ QUERIES = [
     Query("simple_ols", simple_ols, (
         "n:l intercept:4 slope:4 intercept_std_error:4 slope_std_error:4 correlation:6 "
         "r_squared:6 adjusted_r_squared:6 rmse:4 p_value:6 slope_significant:b residuals_mean:4 "
-        "residuals_std:4 durbin_watson:6"), f"""
-      SELECT *, p_value < 0.05 AS slope_significant FROM (
+        "residuals_std:4 durbin_watson:6 interpretation:s"), f"""
+      SELECT *, p_value < 0.05 AS slope_significant,
+        CASE WHEN p_value >= 0.05 THEN 'l_quantity对l_extendedprice的影响不显著'
+          WHEN p_value IS NOT NULL THEN 'l_quantity对l_extendedprice存在显著的'
+            || CASE WHEN slope > 0 THEN '正向' ELSE '负向' END || '影响，模型'
+            || CASE WHEN r_squared < 0.1 THEN '解释力较弱' WHEN r_squared < 0.3 THEN '具有一定的解释力'
+                 WHEN r_squared < 0.5 THEN '具有中等解释力' ELSE '具有较强的解释力' END
+            || '(R²=' || printf('%.3f', r_squared) || ')' END AS interpretation
+      FROM (
         SELECT *, {sql_t_p('(slope / slope_std_error)', 'n - 2')} AS p_value,
           ({sql_durbin_watson(
               'l_extendedprice - (SELECT intercept FROM line_fit) - '
