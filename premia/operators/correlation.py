@@ -58,18 +58,26 @@ def average_ranks(df, column):
 def _rank_products(df, columns):
     """One row: n and, per pair of columns, the sum of products of centred ranks.
 
-    Rows with the same values are merged before the ranks are joined, and the mean rank is
-    (n + 1) / 2 exactly.
+    Rows with the same values are merged first (weight ``w``) and numbered. All columns then go
+    through one range-partitioned pass as (column, value) pairs, which gives every value its
+    average rank; one join brings the ranks to the numbered rows in long form, and one grouping
+    by row number pivots them back. The mean rank is (n + 1) / 2 exactly.
     """
     rows = _both(df, columns)
-    merged = rows.groupBy(*[F.col(c).cast("double").alias(f"v{i}")
-                            for i, c in enumerate(columns)]).agg(F.count("*").alias("w"))
-    for i, c in enumerate(columns):
-        ranks = average_ranks(rows, c).select(F.col("v").alias(f"v{i}"), F.col("r").alias(f"r{i}"))
-        merged = merged.join(ranks, f"v{i}")
+    merged = (rows.groupBy(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
+              .agg(F.count("*").alias("w")).withColumn("id", F.monotonically_increasing_id()))
+    pairs = F.array(*[F.struct(F.lit(i).alias("col"), F.col(f"v{i}").alias("v"))
+                      for i in range(len(columns))])
+    long = merged.select("id", "w", F.explode(pairs).alias("p")).select("id", "w", "p.col", "p.v")
+    counts = long.groupBy("col", "v").agg(F.sum("w").alias("rows"))
+    ranked = rows_before(counts, ["v"], ["col"], "rows").select(
+        "col", "v", (F.col("below") + (F.col("rows") + 1) / F.lit(2.0)).alias("r"))
+    wide = long.join(ranked, ["col", "v"]).groupBy("id").agg(
+        F.max("w").alias("w"), *[F.max(F.when(F.col("col") == i, F.col("r"))).alias(f"r{i}")
+                                 for i in range(len(columns))])
     middle = rows.agg((F.count("*") + 1) / F.lit(2.0)).scalar()
-    centred = merged.select("w", *[(F.col(f"r{i}") - middle).alias(f"r{i}")
-                                   for i in range(len(columns))])
+    centred = wide.select("w", *[(F.col(f"r{i}") - middle).alias(f"r{i}")
+                                 for i in range(len(columns))])
     return centred.agg(F.sum("w").alias("n"), *[
         F.sum(F.col("w") * F.col(f"r{i}") * F.col(f"r{j}")).alias(f"s{i}_{j}")
         for i in range(len(columns)) for j in range(i, len(columns))])

@@ -215,3 +215,26 @@ def test_irr_drivers(spark):
     assert [r.driver for r in rows] == ["annual_premium", "insured_age"]
     assert rows[0].r_squared == pytest.approx(1)
     assert regression.irr_drivers(df.drop("insured_age")).count() == 0
+
+
+def test_spearman_matrix_takes_one_range_pass(spark):
+    from premia.operators import correlation
+    import numpy as np
+    random = np.random.default_rng(3)
+    data = random.integers(0, 20, (400, 4)).astype(float)
+    df = spark.createDataFrame([tuple(map(float, row)) for row in data], "a double, b double, c double, d double")
+    found = {(r.var1, r.var2): r.correlation
+             for r in correlation.correlation_matrix(df, ["a", "b", "c", "d"], "spearman").collect()}
+
+    def ranks(x):
+        order = x.argsort(kind="stable")
+        r = np.empty(len(x))
+        r[order] = np.arange(1, len(x) + 1)
+        for v in np.unique(x):
+            r[x == v] = r[x == v].mean()
+        return r
+    ranked = np.array([ranks(data[:, i]) for i in range(4)])
+    want = np.corrcoef(ranked)
+    for i, x in enumerate("abcd"):
+        for j, y in enumerate("abcd"):
+            assert abs(found[(x, y)] - want[i, j]) < 1e-12
