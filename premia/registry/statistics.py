@@ -474,8 +474,17 @@ QUERIES = [
     Query("multiple_ols", multiple_ols, (
         "n:l n_predictors:i r_squared:6 adjusted_r_squared:6 rmse:4 f_statistic:4 f_p_value:6 "
         "model_significant:b significant_variables:s residuals_mean:4 residuals_std:4 "
-        "durbin_watson:6"), f"""
-      SELECT *, f_p_value < 0.05 AS model_significant FROM (
+        "durbin_watson:6 interpretation:s"), f"""
+      SELECT *, f_p_value < 0.05 AS model_significant,
+        CASE WHEN f_p_value >= 0.05 THEN '整体模型不显著，无法有效解释l_extendedprice的变化'
+          WHEN f_p_value IS NOT NULL AND significant_variables = ''
+            THEN '模型整体显著但无显著变量，可能存在多重共线性'
+          WHEN f_p_value IS NOT NULL THEN '模型' || CASE WHEN r_squared < 0.3 THEN '拟合效果一般'
+              WHEN r_squared < 0.5 THEN '拟合效果中等' WHEN r_squared < 0.7 THEN '拟合效果较好'
+              ELSE '拟合效果很好' END || '，'
+            || CAST(len(string_split(significant_variables, ',')) AS VARCHAR) || '个变量显著影响l_extendedprice'
+            || '，显著变量: ' || replace(significant_variables, ',', ', ') END AS interpretation
+      FROM (
         SELECT *, {sql_f_p('f_statistic', '2', 'n - 3')} AS f_p_value FROM (
           SELECT n, 2 AS n_predictors, 1 - sse / syy AS r_squared,
             1 - (sse / syy) * (n - 1) / (n - 3) AS adjusted_r_squared, sqrt(mse) AS rmse,
