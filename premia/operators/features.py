@@ -51,17 +51,18 @@ def annual_premium(premium):
 def year_end_value(cash_value):
     """Last valuation of each policy and year; the largest value of several on that day.
 
-    The first aggregate, by day, spreads a policy with very many records over the tasks; both
-    stay hash aggregates, without the sort that a maximum over a struct needs. Repeated rows
-    change nothing, so the input need not be distinct.
+    One aggregate by policy and year, combined before its only shuffle, so that a policy with
+    very many records is summed in parts. Repeated rows change nothing, so the input need not be
+    distinct.
     """
-    return _last_of_days(cash_value).groupBy("policy_id", "year").agg(
-        F.max_by("cash_value", "valuation_date").alias("cash_value_eoy"))
+    return _valued(cash_value).groupBy("policy_id", "year").agg(
+        F.max("last")["cash_value"].alias("cash_value_eoy"))
 
 
-def _last_of_days(cash_value):
-    return _by_year(cash_value, "valuation_date").groupBy(
-        "policy_id", "year", "valuation_date").agg(F.max("cash_value").alias("cash_value"))
+def _valued(cash_value):
+    """Each record with (date, value), whose greatest is the last value, of one day the largest."""
+    return _by_year(cash_value, "valuation_date").select(
+        "policy_id", "year", F.struct("valuation_date", "cash_value").alias("last"))
 
 
 def annual_dividend(dividend):
@@ -74,15 +75,15 @@ def cashflow_annual(premium, cash_value, dividend=None):
 
     A year is present if it has a premium or a value. Instead of a full outer and a left join
     the records are stacked and meet in one aggregate by policy and year, combined before its
-    only shuffle. The window then sees one row per policy and calendar year, however many
+    only shuffle; cash values are not grouped by day first, which moved them all once more. The
+    window then sees one row per policy and calendar year, however many
     records a policy has.
     """
     records = (
         _by_year(premium, "payment_date")
         .select("policy_id", "year", "premium_amount", F.lit(1).alias("present"))
-        .unionByName(_last_of_days(cash_value).select(
-            "policy_id", "year", "valuation_date", "cash_value", F.lit(1).alias("present")),
-            allowMissingColumns=True)
+        .unionByName(_valued(cash_value).withColumn("present", F.lit(1)),
+                     allowMissingColumns=True)
     )
     if dividend is not None:
         records = records.unionByName(_by_year(dividend, "dividend_date").select(
@@ -92,7 +93,7 @@ def cashflow_annual(premium, cash_value, dividend=None):
         paid = F.lit(0.0)
     years = records.groupBy("policy_id", "year").agg(
         F.coalesce(F.sum("premium_amount"), F.lit(0.0)).alias("premium_outflow"),
-        F.max_by("cash_value", "valuation_date").alias("cash_value_eoy"),
+        F.max("last")["cash_value"].alias("cash_value_eoy"),
         paid.alias("dividend_amount"), F.count("present").alias("present"),
     ).where(F.col("present") > 0)
     past = (Window.partitionBy("policy_id").orderBy("year")

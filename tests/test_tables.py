@@ -284,3 +284,18 @@ def test_year_with_a_dividend_alone_is_left_out(spark):
     years = {(r.policy_id, r.year) for r in
              features.cashflow_annual(premium, value, dividend).collect()}
     assert years == {("a", 2020), ("a", 2021), ("a", 2022), ("b", 2021), ("b", 2022)}
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_year_end_values_move_once(spark):
+    values = spark.sql("""SELECT * FROM VALUES
+        ('a', TIMESTAMP '2020-03-01', 5D), ('a', TIMESTAMP '2020-12-01', 3D), ('a', TIMESTAMP '2020-12-01', 4D),
+        ('a', TIMESTAMP '2021-01-01', 9D), ('a', TIMESTAMP '2021-02-01', NULL), ('b', TIMESTAMP '2020-01-01', -1D),
+        (NULL, TIMESTAMP '2020-01-01', 1D), ('c', NULL, 1D) t(policy_id, valuation_date, cash_value)""")
+    found = features.year_end_value(values)
+    assert plan(found).count("Exchange hashpartitioning") == 1
+    assert sorted(map(tuple, found.collect())) == [
+        ("a", 2020, 4.0), ("a", 2021, None), ("b", 2020, -1.0)]
