@@ -7,7 +7,9 @@ bins that hold a wanted rank (a join with that small table of bins) and counts t
 16 bits, until after four passes the whole key, and so the value itself, is known. Every pass is
 a keyed count, combined on the map side, so a hot group or a hot value is summed in parts; a bin
 table has at most 65,536 rows a group and column, whatever the data. The passes are lazy: the
-quantiles are a plan, not a job run while it is built.
+quantiles are a plan; only the groups, where there are any, are counted while it is built. Up to
+``_FEW_GROUPS`` of them, the small table of wanted bins is broadcast, so that no pass moves the
+rows, and no task gets all the rows of a group; with more, rows meet it by (group, bin).
 
 NaN is the largest value, -0.0 counts as 0.0. A group whose values are all missing has NULL
 quantiles.
@@ -17,6 +19,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 _BITS = 16
+_FEW_GROUPS = 2_000
 _SHIFTS = (48, 32, 16, 0)
 _MANTISSA = 1 << 52
 _TINY = 2.0 ** -1022
@@ -55,6 +58,8 @@ def quantiles(df, value_cols, probs, by=()):
     """``by`` columns plus, per value column, the array of its quantiles under its own name."""
     by, probs = list(by), [float(p) for p in probs]
     group = [*by, "name"]
+    few = not by or (df.select(*by).dropna().distinct().limit(_FEW_GROUPS + 1).count()
+                     <= _FEW_GROUPS)
     keyed = long_values(df, value_cols, by).select(*group, "v", order_key(F.col("v")).alias("key"))
     # Each level's table of wanted ranks is read once, by the next level, so the plan grows
     # linearly with the levels.
@@ -69,8 +74,8 @@ def quantiles(df, value_cols, probs, by=()):
     for shift in _SHIFTS[1:]:
         chosen = wanted.groupBy(*group, "prefix").agg(
             F.max("n").alias("n"), F.collect_list(F.struct("at", "rank")).alias("asks"))
-        # Without groups the table of chosen bins has at most 2 rows a probability and column.
-        chosen = chosen if by else F.broadcast(chosen)
+        # The table of chosen bins has at most 2 rows a probability, column and group.
+        chosen = F.broadcast(chosen) if few else chosen
         rows = keyed.withColumn("prefix", F.shiftright("key", shift + _BITS)).join(
             chosen, [*group, "prefix"])
         wanted = _pick(_count(rows, group, shift, carried=("n", "asks")), group)

@@ -290,6 +290,13 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.fixture
+def no_small_tables(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_year_end_values_move_once(spark):
     values = spark.sql("""SELECT * FROM VALUES
         ('a', TIMESTAMP '2020-03-01', 5D), ('a', TIMESTAMP '2020-12-01', 3D), ('a', TIMESTAMP '2020-12-01', 4D),
@@ -299,3 +306,18 @@ def test_year_end_values_move_once(spark):
     assert plan(found).count("Exchange hashpartitioning") == 1
     assert sorted(map(tuple, found.collect())) == [
         ("a", 2020, 4.0), ("a", 2021, None), ("b", 2020, -1.0)]
+
+
+def test_grouped_quantiles_do_not_move_the_rows(spark, no_small_tables, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(int(g), float(v), float(v) ** 2) for g, v in zip(
+        rng.integers(0, 3, 300), rng.normal(0, 9, 300).round(1))] + [(3, None, 1.0), (None, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "g int, v double, w double")
+    found = quantiles.quantiles(df, ["v", "w"], [0.1, 0.5], ["g"])
+    assert plan(found).count("SortMergeJoin") == 1  # of the groups with their quantiles
+    monkeypatch.setattr(quantiles, "_FEW_GROUPS", 2)
+    for result in (found, quantiles.quantiles(df, ["v", "w"], [0.1, 0.5], ["g"])):
+        for r in result.collect():
+            for name, k in (("v", 1), ("w", 2)):
+                own = [row[k] for row in rows if row[0] == r.g and row[k] is not None]
+                assert r[name] == (pytest.approx(np.quantile(own, [0.1, 0.5])) if own else None)
