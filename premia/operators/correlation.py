@@ -11,7 +11,9 @@ from premia.functions.special import t_two_sided
 from premia.operators.ordering import rows_before
 from premia.operators.quantiles import quantiles
 from premia.schemas import numeric_columns
+from premia.storage import store
 
+_HOT = 1_000
 QUARTILE_LABELS = ["低", "中低", "中高", "高"]  # fixed values
 
 
@@ -58,23 +60,27 @@ def average_ranks(df, column):
 def _rank_products(df, columns):
     """One row: n and, per pair of columns, the sum of products of centred ranks.
 
-    Rows with the same values are merged first (weight ``w``) and numbered. All columns then go
+    Rows with the same values are merged first (weight ``w``) and stored. All columns then go
     through one range-partitioned pass as (column, value) pairs, which gives every value its
-    average rank; one join brings the ranks to the numbered rows in long form, and one grouping
-    by row number pivots them back. The mean rank is (n + 1) / 2 exactly.
+    average rank. The ranks come to the rows column by column: those of values that hold more
+    than 1 / ``_HOT`` of the merged rows, at most ``_HOT`` a column, are broadcast, so that no
+    task gets all rows of such a value; the other rows meet theirs by value, each missing rank
+    under a key of its own. The mean rank is (n + 1) / 2 exactly.
     """
     rows = _both(df, columns)
-    merged = (rows.groupBy(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
-              .agg(F.count("*").alias("w")).withColumn("id", F.monotonically_increasing_id()))
+    merged = store(rows.groupBy(*[F.col(c).cast("double").alias(f"v{i}")
+                                  for i, c in enumerate(columns)])
+                   .agg(F.count("*").alias("w")), "rank-rows")
     pairs = F.array(*[F.struct(F.lit(i).alias("col"), F.col(f"v{i}").alias("v"))
                       for i in range(len(columns))])
-    long = merged.select("id", "w", F.explode(pairs).alias("p")).select("id", "w", "p.col", "p.v")
-    counts = long.groupBy("col", "v").agg(F.sum("w").alias("rows"))
-    ranked = rows_before(counts, ["v"], ["col"], "rows").select(
-        "col", "v", (F.col("below") + (F.col("rows") + 1) / F.lit(2.0)).alias("r"))
-    wide = long.join(ranked, ["col", "v"]).groupBy("id").agg(
-        F.max("w").alias("w"), *[F.max(F.when(F.col("col") == i, F.col("r"))).alias(f"r{i}")
-                                 for i in range(len(columns))])
+    counts = (merged.select("w", F.explode(pairs).alias("p")).groupBy("p.col", "p.v")
+              .agg(F.sum("w").alias("rows"), F.count(F.lit(1)).alias("held")))
+    ranked = store(rows_before(counts, ["v"], ["col"], "rows").select(
+        "col", "v", "held", (F.col("below") + (F.col("rows") + 1) / F.lit(2.0)).alias("r")), "ranks")
+    many = merged.agg(F.count(F.lit(1))).scalar() / F.lit(float(_HOT))
+    wide = merged
+    for i in range(len(columns)):
+        wide = _with_ranks(wide, ranked.where(F.col("col") == i), i, many)
     middle = rows.agg((F.count("*") + 1) / F.lit(2.0)).scalar()
     centred = wide.select("w", *[(F.col(f"r{i}") - middle).alias(f"r{i}")
                                  for i in range(len(columns))])
@@ -83,6 +89,22 @@ def _rank_products(df, columns):
         for i in range(len(columns)) for j in range(i, len(columns))])
 
 
+def _with_ranks(wide, ranked, i, many):
+    """Adds r{i}, the rank of v{i}, from the ranks (v, r) of that column."""
+    hot = ranked.where(F.col("held") > many).select(F.col("v").alias(f"v{i}"),
+                                                    F.col("r").alias("hot"))
+    cold = ranked.where(F.col("held") <= many).select(
+        F.col("v").alias("at"), F.lit(0).alias("side"), F.col("r").alias("cold"))
+    wide = wide.join(F.broadcast(hot), f"v{i}", "left")
+    # Rows with a rank already are dealt by their own hash; side 1 meets no rank.
+    known = F.col("hot").isNotNull()
+    spread = F.when(known, F.xxhash64(*[c for c in wide.columns if c != "hot"]).cast("double")
+                    ).otherwise(F.col(f"v{i}"))
+    return (wide.withColumn("at", spread).withColumn("side", known.cast("int"))
+            .join(cold, ["at", "side"], "left")
+            .withColumn(f"r{i}", F.coalesce("hot", "cold")).drop("at", "side", "hot", "cold"))
+
+
 def _rank_correlation(i, j):
     i, j = sorted((i, j))
     return F.try_divide(F.col(f"s{i}_{j}"), F.sqrt(F.col(f"s{i}_{i}") * F.col(f"s{j}_{j}")))

@@ -238,3 +238,28 @@ def test_spearman_matrix_takes_one_range_pass(spark):
     for i, x in enumerate("abcd"):
         for j, y in enumerate("abcd"):
             assert abs(found[(x, y)] - want[i, j]) < 1e-12
+
+
+def test_ranks_of_frequent_values_are_broadcast(spark):
+    rng = np.random.default_rng(5)
+    x, y, z = rng.integers(0, 3, 4000), rng.normal(size=4000), rng.integers(0, 1500, 4000)
+    y = y + x
+    df = spark.createDataFrame([tuple(map(float, r)) for r in zip(x, y, z)] + [(None, 1.0, 2.0)],
+                               "x double, y double, z double")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = correlation.correlation_matrix(df, ["x", "y", "z"], "spearman")
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        got = {(r.var1, r.var2): r.correlation for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("BroadcastHashJoin") >= 3
+
+    def ranks(a):
+        _, inverse, counts = np.unique(a, return_inverse=True, return_counts=True)
+        return (np.cumsum(counts) - (counts - 1) / 2)[inverse]
+
+    expected = np.corrcoef([ranks(x), ranks(y), ranks(z)])
+    for i, a in enumerate("xyz"):
+        for j, b in enumerate("xyz"):
+            assert got[a, b] == pytest.approx(expected[i, j], abs=1e-12)
