@@ -99,10 +99,10 @@ def quantiles(df, value_cols, probs, by=()):
 
 def _count(rows, group, shift, carried=()):
     """Rows and a value of each bin ``key >> shift`` within its ``prefix``; ``carried`` columns
-    are the same for a whole prefix."""
-    return rows.groupBy(*group, "prefix", F.shiftright("key", shift).alias("bin")).agg(
-        F.count(F.lit(1)).alias("rows"), F.max("v").alias("v"),
-        *[F.first(c).alias(c) for c in carried])
+    are the same for a whole prefix. They are keys, as an array among the aggregates would make
+    Spark sort all rows instead of counting them in a hash table."""
+    return rows.groupBy(*group, "prefix", *carried, F.shiftright("key", shift).alias("bin")).agg(
+        F.count(F.lit(1)).alias("rows"), F.max("v").alias("v"))
 
 
 def _pick(bins, group):

@@ -321,3 +321,10 @@ def test_grouped_quantiles_do_not_move_the_rows(spark, no_small_tables, monkeypa
             for name, k in (("v", 1), ("w", 2)):
                 own = [row[k] for row in rows if row[0] == r.g and row[k] is not None]
                 assert r[name] == (pytest.approx(np.quantile(own, [0.1, 0.5])) if own else None)
+
+
+def test_quantile_passes_count_without_sorting(spark):
+    df = spark.range(100).select((F.col("id") * 0.5).alias("v"))
+    found = quantiles.quantiles(df, ["v"], [0.25, 0.5])
+    assert "SortAggregate(key=[name" not in plan(found)
+    assert found.first().v == pytest.approx([12.375, 24.75])
