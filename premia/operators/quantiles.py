@@ -38,7 +38,8 @@ def long_values(df, value_cols, by=()):
 
 def order_key(v):
     """A bigint whose order is that of the double ``v``: sign times the IEEE bit pattern of |v|
-    (exponent and mantissa found arithmetically, exactly), NaN above infinity."""
+    (exponent and mantissa found arithmetically, exactly), NaN above infinity. It is never NULL
+    (0 for a NULL ``v``), so that no join works it out once more to drop NULL keys."""
     a = F.abs(v)
     guess = F.floor(F.log2(a))
     exponent = (F.when(F.pow(F.lit(2.0), guess) > a, guess - 1)
@@ -51,7 +52,7 @@ def order_key(v):
             .when(a == 0, F.lit(0))
             .when(a < F.lit(_TINY), subnormal)
             .otherwise(normal)).cast("bigint")
-    return F.when(v < 0, -size).otherwise(size)
+    return F.coalesce(F.when(v < 0, -size).otherwise(size), F.lit(0).cast("bigint"))
 
 
 def quantiles(df, value_cols, probs, by=()):
