@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from premia.functions import solvers
+from premia.storage import dealt
 
 
 def annual_series(cashflow):
@@ -14,7 +15,7 @@ def annual_series(cashflow):
     calendar year.
     """
     year = F.struct("year", "premium_outflow", "dividend_amount", "cash_value_eoy")
-    packed = cashflow.groupBy("policy_id").agg(
+    packed = dealt(cashflow, "policy_id").groupBy("policy_id").agg(
         F.sort_array(F.collect_list(year)).alias("years"))
     last = F.size("years") - 1
 

@@ -6,6 +6,7 @@ from pyspark.sql import types as T
 from premia.functions.columns import clip_nonnegative, normalise_status, parse_date, parse_number
 from premia.operators.quantiles import quantiles
 from premia.schemas import IN_FORCE_STATUSES, numeric_columns, string_columns
+from premia.storage import dealt, store
 
 POLICY_DATES = ["issue_date", "effective_date", "maturity_date", "termination_date"]
 POLICY_AMOUNTS = ["sum_assured", "annual_premium", "total_premium"]
@@ -127,15 +128,17 @@ def clean_cash_value(df, ordered=False, distinct=True):
 
 
 def clean_premium(df, prob=0.99, factor=10):
-    raw, df = df, coerce_types(dedupe(df), ["payment_date"], ["premium_amount"])
+    """Positive premiums up to ``factor`` times their quantile; the distinct rows are stored, as
+    the quantile reads them four times and the filter once more."""
+    df = coerce_types(dedupe(dealt(df, *df.columns)), ["payment_date"], ["premium_amount"])
     if "premium_amount" not in df.columns:
         return df
-    return filter_quantile_cutoff(filter_positive(df, "premium_amount"),
+    return filter_quantile_cutoff(store(filter_positive(df, "premium_amount"), "premium"),
                                   "premium_amount", prob, factor)
 
 
 def clean_dividend(df):
-    df = coerce_types(dedupe(df), ["dividend_date"], ["dividend_amount"])
+    df = coerce_types(dedupe(dealt(df, *df.columns)), ["dividend_date"], ["dividend_amount"])
     if "dividend_amount" in df.columns:
         df = df.withColumn("dividend_amount", clip_nonnegative(F.col("dividend_amount")))
     return df

@@ -1,13 +1,20 @@
 """Policy features, the annual cash-flow table and per-policy tables built from it."""
 
+from decimal import Decimal
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from premia.functions.columns import prefix_category, right_closed_bins
+from premia.operators.quantiles import order_key, value_of_key
 from premia.schemas import (
     AGE_EDGES, AGE_LABELS, COVERAGE_EDGES, COVERAGE_LABELS, OTHER_CATEGORY, PRODUCT_CATEGORIES,
 )
 
+_STEP = Decimal(1 << 64)
+_MISSING = -(1 << 63)
+
 
 def policy_features(df, as_of_year, categories=PRODUCT_CATEGORIES, other=OTHER_CATEGORY,
                     keep_existing=False):
@@ -55,14 +62,34 @@ def year_end_value(cash_value):
     very many records is summed in parts. Repeated rows change nothing, so the input need not be
     distinct.
     """
-    return _valued(cash_value).groupBy("policy_id", "year").agg(
-        F.max("last")["cash_value"].alias("cash_value_eoy"))
+    last = _value_at(F.max("place"), cash_value.schema["cash_value"].dataType)
+    return _valued(cash_value).groupBy("policy_id", "year").agg(last.alias("cash_value_eoy"))
 
 
 def _valued(cash_value):
-    """Each record with (date, value), whose greatest is the last value, of one day the largest."""
+    """Each record with its place among those of its policy and year: by date, then by value, a
+    missing one first. The place is one number, microseconds times 2^64 plus the value's order
+    key, as Spark keeps the greatest number of a group in a hash table, but sorts all records
+    for the greatest struct.
+    """
+    value = F.col("cash_value")
+    key = F.when(value.isNull(), F.lit(_MISSING)).otherwise(order_key(value.cast("double")))
+    micros = _micros(cash_value, "valuation_date").cast("decimal(18,0)")
     return _by_year(cash_value, "valuation_date").select(
-        "policy_id", "year", F.struct("valuation_date", "cash_value").alias("last"))
+        "policy_id", "year", (micros * F.lit(_STEP) + key.cast("decimal(20,0)")).alias("place"))
+
+
+def _value_at(place, kind):
+    key = (F.pmod(place + F.lit(_STEP / 2), F.lit(_STEP)) - F.lit(_STEP / 2)).cast("bigint")
+    return F.when(key != _MISSING, value_of_key(key)).cast(kind)
+
+
+def _micros(df, date):
+    """Microseconds since 1970 on the date's own clock, which no change to summer time turns back."""
+    if isinstance(df.schema[date].dataType, T.TimestampType):
+        return F.unix_micros(date)
+    since = F.col(date).cast("timestamp_ntz") - F.lit("1970-01-01").cast("timestamp_ntz")
+    return since.cast("interval second").cast("decimal(18,6)") * 1_000_000
 
 
 def annual_dividend(dividend):
@@ -93,7 +120,8 @@ def cashflow_annual(premium, cash_value, dividend=None):
         paid = F.lit(0.0)
     years = records.groupBy("policy_id", "year").agg(
         F.coalesce(F.sum("premium_amount"), F.lit(0.0)).alias("premium_outflow"),
-        F.max("last")["cash_value"].alias("cash_value_eoy"),
+        _value_at(F.max("place"), cash_value.schema["cash_value"].dataType)
+        .alias("cash_value_eoy"),
         paid.alias("dividend_amount"), F.count("present").alias("present"),
     ).where(F.col("present") > 0)
     past = (Window.partitionBy("policy_id").orderBy("year")

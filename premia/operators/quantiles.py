@@ -55,6 +55,17 @@ def order_key(v):
     return F.coalesce(F.when(v < 0, -size).otherwise(size), F.lit(0).cast("bigint"))
 
 
+def value_of_key(key):
+    """The double whose ``order_key`` is the bigint ``key``."""
+    size = F.abs(key)
+    exponent, mantissa = F.shiftright(size, 52), size.bitwiseAND(F.lit(_MANTISSA - 1))
+    share = mantissa.cast("double") / F.lit(float(_MANTISSA))
+    v = (F.when(exponent == 0, share * F.lit(_TINY))
+         .when(exponent < 0x7FF, (share + 1) * F.pow(F.lit(2.0), exponent - 1023))
+         .when(mantissa == 0, F.lit(float("inf"))).otherwise(F.lit(float("nan"))))
+    return F.when(key < 0, -v).otherwise(v)
+
+
 def quantiles(df, value_cols, probs, by=()):
     """``by`` columns plus, per value column, the array of its quantiles under its own name."""
     by, probs = list(by), [float(p) for p in probs]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from premia.functions.columns import missing_nan, normalise_status
 from premia.operators import aggregates, clean, features, quantiles, returns, trends
 from premia.schemas import AGE_EDGES, AGE_LABELS
+from premia.sources import views
 
 
 def test_quantiles_equal_numpy(spark):
@@ -328,3 +329,54 @@ def test_quantile_passes_count_without_sorting(spark):
     found = quantiles.quantiles(df, ["v"], [0.25, 0.5])
     assert "SortAggregate(key=[name" not in plan(found)
     assert found.first().v == pytest.approx([12.375, 24.75])
+
+
+def test_place_of_last_value_is_exact(spark):
+    odd = [0.1, 1 / 3, -1 / 3, 5e-324, -2.3e-308, 1.7976931348623157e308, float("-inf"), 1e15 + 0.3]
+    df = spark.createDataFrame([(v,) for v in odd], "v double")
+    back = df.select("v", quantiles.value_of_key(quantiles.order_key(F.col("v"))).alias("back"))
+    assert all(r.v == r.back for r in back.collect())
+    rows = [("a", "1995-01-03 10:00:00", 5.0), ("a", "1995-01-03 10:00:00", 7.5),
+            ("a", "1995-01-02 00:00:00", 99.0), ("b", "1960-05-05 00:00:00", -4.25),
+            ("b", "1960-05-05 00:00:00", None), ("c", "2021-03-14 02:30:00.000001", 9.0),
+            ("c", "2021-03-14 02:30:00", 11.0), ("d", "2000-01-01 00:00:00", 3.0),
+            ("d", "2000-06-01 00:00:00", None), (None, "2000-01-01 00:00:00", 1.0)]
+    for kind in ("timestamp_ntz", "timestamp", "date"):
+        df = spark.createDataFrame(rows, "policy_id string, d string, cash_value double").select(
+            "policy_id", F.col("d").cast(kind).alias("valuation_date"), "cash_value")
+        found = {r.policy_id: r.cash_value_eoy for r in features.year_end_value(df).collect()}
+        assert found == {"a": 7.5, "b": -4.25, "c": 11.0 if kind == "date" else 9.0, "d": None}
+
+
+def test_cash_flows_are_combined_without_sorting_records(spark, no_small_tables):
+    lines = "policy_id string, valuation_date timestamp_ntz, cash_value double"
+    premium = spark.createDataFrame([], "policy_id string, payment_date date, premium_amount double")
+    found = features.cashflow_annual(premium, spark.createDataFrame([], lines))
+    assert "SortAggregate" not in plan(found)
+
+
+def test_lines_meet_their_orders_without_sorting(spark, tmp_path, no_small_tables):
+    spark.sql("SELECT 1L AS o_orderkey, 5L AS o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.sql("""SELECT 1L AS l_orderkey, 2.0D AS l_quantity, 3.0D AS l_extendedprice,
+        0.5D AS l_discount, 'R' AS l_returnflag, TIMESTAMP_NTZ'1995-01-01 00:00:00' AS l_shipdate
+        """).write.parquet(f"{tmp_path}/lineitem.parquet")
+    for table, amount in ((views.cash_value, 6.0), (views.dividend, 1.5)):
+        found = table(spark, str(tmp_path))
+        assert "ShuffledHashJoin" in plan(found) and "SortMergeJoin" not in plan(found)
+        assert [(r[0], r[2]) for r in found.collect()] == [("5", amount)]
+
+
+def test_distinct_records_have_no_table_before_their_shuffle(spark):
+    df = spark.createDataFrame([("a", None, 1.0)] * 3, "policy_id string, dividend_date date, "
+                               "dividend_amount double")
+    found = clean.clean_dividend(df)
+    assert plan(found).rindex("HashAggregate") < plan(found).index("Exchange")
+    assert found.count() == 1
+
+
+def test_distinct_premiums_are_stored_for_the_quantile(spark):
+    rows = [("a", None, float(k)) for k in range(1, 50)] * 2 + [("a", None, 1e6), ("b", None, -1.0)]
+    df = spark.createDataFrame(rows, "policy_id string, payment_date date, premium_amount double")
+    found = clean.clean_premium(df, prob=0.5)
+    assert found.count() == 49
+    assert "premium-" in plan(found) or "InMemoryTableScan" in plan(found)
