@@ -86,3 +86,10 @@ def test_products_are_associative(model):
     left, right = sp.times(sp.times(a, b), c), sp.times(a, sp.times(b, c))
     assert (left == right).all()
     assert left[0, 0, 0] == model.search(text, len(text))[0][41]
+
+
+def test_decoding_many_rows_with_missing_and_empty_ones(spark, model):
+    texts = [None if k % 7 == 0 else "" if k % 5 == 0 else f"number {k} of the rows" for k in range(700)]
+    rows = [(k, None if t is None else model.encode(t)) for k, t in enumerate(texts)]
+    coded = spark.createDataFrame(rows, "k int, ids array<int>").coalesce(1)
+    assert {r.k: r.decoded for r in sp.decode(coded, PATH).collect()} == dict(enumerate(texts))
