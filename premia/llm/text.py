@@ -6,6 +6,7 @@ has the one shingle of no words, so every text has at least one.
 """
 
 import numpy as np
+import pyarrow.compute as pc
 
 WIDTH = 5
 PIECE_BYTES = 1 << 21
@@ -31,8 +32,8 @@ def mix(x):
 
 def pieces(batch, column, limit=PIECE_BYTES):
     """Cut an Arrow batch into slices of about ``limit`` bytes of ``column``, one row at least."""
-    sizes = batch.column(column).to_pandas().str.len().fillna(0).to_numpy(np.int64)
-    group = np.cumsum(sizes) // limit
+    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+    group = np.cumsum(sizes, dtype=np.int64) // limit
     cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
     for start, end in zip(cuts, cuts[1:]):
         if end > start:

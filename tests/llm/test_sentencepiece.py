@@ -1,5 +1,8 @@
 import random
+import sys
+import tracemalloc
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece as library
@@ -93,3 +96,50 @@ def test_decoding_many_rows_with_missing_and_empty_ones(spark, model):
     rows = [(k, None if t is None else model.encode(t)) for k, t in enumerate(texts)]
     coded = spark.createDataFrame(rows, "k int, ids array<int>").coalesce(1)
     assert {r.k: r.decoded for r in sp.decode(coded, PATH).collect()} == dict(enumerate(texts))
+
+
+def odd_texts(seed):
+    rng = random.Random(seed)
+    parts = ["the", " ", "  ", "er", "x", "é", "\n", "\0", "\U0001F600", "\u0378", "日本", ".", "\u2581", "qzx" * 25]
+    return ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(300)] + [
+        "", " ", "", "a" * 64, "a" * 65, "é" * 63, " a", "a ", "\u0378" * 70, ""]
+
+
+@pytest.mark.parametrize("known", [0, 20, 150_000])
+def test_batches_equal_single_searches(model, monkeypatch, known):
+    """Whatever is forgotten between batches, and whichever words are new together."""
+    monkeypatch.setattr(sp, "KNOWN", known)
+    for seed in range(3):
+        texts = odd_texts(seed)
+        found = model.encode_all(texts).to_pylist()
+        assert found == [sequential(model, t) for t in texts]
+        ends = np.cumsum([0, *map(len, found)])
+        assert model.decode_all(sp.pa.array([k for ids in found for k in ids], sp.pa.int32()), ends) == [
+            t.replace("\u2581", " ") for t in texts]
+
+
+def test_known_words_stay_few(model, monkeypatch):
+    monkeypatch.setattr(sp, "KNOWN", 100)
+    monkeypatch.setattr(sp, "KNOWN_BYTES", 10_000)
+    for start in range(0, 2_000, 50):
+        model.encode_all([" ".join(f"w{chr(97 + k % 26)}{'ab' * (k % 90)}" for k in range(start, start + 50))])
+        assert len(model.known) <= 150 and model.known.nbytes <= 20_000 + 50 * 8
+        assert len(model.met) == len(model.known) == len(model.word_ends) - 1
+
+
+def test_no_python_step_for_each_word(model):
+    """2,000 new words take hardly more calls than one."""
+    rng, calls = random.Random(5), []
+    text = " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(9)) for _ in range(2_000))
+    sys.setprofile(lambda frame, event, what: calls.append(event))
+    model.encode(text)
+    sys.setprofile(None)
+    assert len(calls) < 2_000
+
+
+def test_pieces_take_little_memory():
+    tracemalloc.start()
+    held = sp.Pieces.load(PATH)
+    size = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held.names and size < 18e6
