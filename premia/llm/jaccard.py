@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from premia.llm.components import components
-from premia.llm.text import mix, pieces, shingles_of
+from premia.llm.text import SMALL_BYTES, mix, pieces, shingles_of
 from premia.storage import store
 
 THRESHOLD = 0.8
@@ -92,7 +92,7 @@ def texts(docs, text_column="text"):
 
     def sign(batches):
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", SMALL_BYTES):
                 keys = bands(signatures(*shingles_of(piece.column("text").to_pylist())))
                 yield pa.RecordBatch.from_arrays(
                     [piece.column("t1"), piece.column("t2"), pa.array(list(keys))],
@@ -129,7 +129,7 @@ def _members(docs, distinct, text_column):
     def shingle(batches):
         for batch in batches:
             maybe = hit.value[batch.column("t1").to_numpy() % BITS]
-            for piece in pieces(batch.filter(pa.array(maybe)), "text"):
+            for piece in pieces(batch.filter(pa.array(maybe)), "text", SMALL_BYTES):
                 hashes, offsets = shingles_of(piece.column("text").to_pylist())
                 signed = signatures(hashes, offsets)
                 sets = [np.unique(hashes[a:b]).tobytes()

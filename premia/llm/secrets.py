@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from premia.llm.text import joined_bytes, pieces
+from premia.llm.text import SMALL_BYTES, joined_bytes, pieces
 
 
 @dataclass(frozen=True)
@@ -323,7 +323,7 @@ def redact(docs, text_column="text", length_column="n_chars", mark="[secret]", r
 
     def clean(batches):
         for batch in batches:
-            for piece in pieces(batch, text_at):
+            for piece in pieces(batch, text_at, SMALL_BYTES):
                 texts = piece.column(text_at).to_pylist()
                 lengths = piece.column(length_at).to_pylist() if length_at is not None else None
                 for k, found in enumerate(scan_texts([t or "" for t in texts], automaton, rules)):

@@ -35,13 +35,13 @@ import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from premia.llm.text import SMALL_BYTES
 from premia.llm.text import pieces as slices
-from premia.storage import store
+from premia.storage import dealt, store
 
 SPACE = "▁"
 CHUNK = 16_384
 MOST_CHUNKS = 4_096
-BATCH = 1 << 19
 KNOWN, KNOWN_BYTES = 150_000, 8 << 20
 LANES = 64
 _NONE = float("-inf")
@@ -471,7 +471,7 @@ def encode(docs, path, id_column="doc_id", text_column="text", chunk=CHUNK):
     def whole(batches):
         model = loaded(path)
         for batch in batches:
-            for piece in slices(batch, "text", BATCH):
+            for piece in slices(batch, "text", SMALL_BYTES):
                 yield pa.RecordBatch.from_arrays(
                     [piece.column("doc_id"), model.encode_all(piece.column("text").to_pylist())],
                     ["doc_id", "ids"])
@@ -505,7 +505,7 @@ def encode_long(texts, path, chunk=CHUNK):
         def run(batches):
             model = loaded(path)
             for batch in batches:
-                for part in slices(batch, "part", BATCH):
+                for part in slices(batch, "part", SMALL_BYTES):
                     f = part.select(part.schema.names[2:]).to_pandas()
                     yield pa.RecordBatch.from_arrays(
                         [part.column(0), part.column(1), make(model, f)], ["mark", "k", column])
@@ -520,7 +520,7 @@ def encode_long(texts, path, chunk=CHUNK):
         found = border_sums(np.stack(frame["matrix"].to_numpy()).reshape(-1, reach, reach))
         return pd.DataFrame({"mark": frame["mark"], "k": frame["k"], "entry": list(found)})
 
-    borders = store(matrices.groupBy("mark").applyInPandas(
+    borders = store(dealt(matrices, "mark").groupBy("mark").applyInPandas(
         sums, "mark string, k int, entry array<double>"), "pieces-borders")
     entered = chunks.join(borders, ["mark", "k"])
     states = each(lambda model, f: pa.array(
@@ -535,7 +535,7 @@ def encode_long(texts, path, chunk=CHUNK):
             state = int(found[state])
         return pd.DataFrame({"mark": frame["mark"], "k": frame["k"], "leave": out})
 
-    left = states.groupBy("mark").applyInPandas(leave, "mark string, k int, leave int")
+    left = dealt(states, "mark").groupBy("mark").applyInPandas(leave, "mark string, k int, leave int")
     coded = each(lambda model, f: model.between(f["part"], f["own"], f["entry"], f["leave"]),
                  "ids", "array<int>")(entered.join(left, ["mark", "k"]))
     return coded.groupBy("mark").agg(F.flatten(F.transform(

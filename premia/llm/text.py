@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 
 WIDTH = 5
 PIECE_BYTES = 1 << 21
+SMALL_BYTES = 1 << 19  # keeps the arrays of a slice, 8 to 16 times its bytes each, small in many workers
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True

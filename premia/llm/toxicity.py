@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 
 from premia.llm.labelled import in_parts, sample, score_rows
-from premia.llm.text import pieces, prefix_hashes
+from premia.llm.text import SMALL_BYTES, pieces, prefix_hashes
 
 SAMPLE = 6_000
 BUCKETS = 1 << 20
@@ -175,7 +175,7 @@ def keep_clean(docs, model, text_column="text"):
 
     def keep(batches):
         for batch in batches:
-            for piece in pieces(batch, at):
+            for piece in pieces(batch, at, SMALL_BYTES):
                 texts = [t or "" for t in piece.column(at).to_pylist()]
                 yield piece.filter(pa.array(~model.rejects(texts)))
 
