@@ -27,6 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from premia.llm.components import components
+from premia.llm.groups import by_group
 from premia.llm.text import SMALL_BYTES, mix, pieces, shingles_of
 from premia.storage import store
 
@@ -179,8 +180,9 @@ def links(docs, text_column="text", threshold=THRESHOLD):
     def compare(frame):
         return _compare(frame, need, threshold)
 
-    found = dealt.groupBy("key", "low", "high").applyInPandas(
-        compare, "t1 bigint, t2 bigint, r1 bigint, r2 bigint, texts bigint, docs bigint")
+    block = ["key", "low", "high"]
+    found = by_group(dealt.repartition(*block), block, compare,
+                     "t1 bigint, t2 bigint, r1 bigint, r2 bigint, texts bigint, docs bigint")
     return distinct.select("t1", "t2", "copies"), store(found, "join-found")
 
 

@@ -35,6 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from premia.llm.groups import by_group
 from premia.llm.text import SMALL_BYTES
 from premia.llm.text import pieces as slices
 from premia.storage import dealt, store
@@ -520,8 +521,8 @@ def encode_long(texts, path, chunk=CHUNK):
         found = border_sums(np.stack(frame["matrix"].to_numpy()).reshape(-1, reach, reach))
         return pd.DataFrame({"mark": frame["mark"], "k": frame["k"], "entry": list(found)})
 
-    borders = store(dealt(matrices, "mark").groupBy("mark").applyInPandas(
-        sums, "mark string, k int, entry array<double>"), "pieces-borders")
+    borders = store(by_group(dealt(matrices, "mark"), ["mark"], sums,
+                             "mark string, k int, entry array<double>"), "pieces-borders")
     entered = chunks.join(borders, ["mark", "k"])
     states = each(lambda model, f: pa.array(
         [model.entry_states(t, n, e) for t, n, e in zip(f["part"], f["own"], f["entry"])],
@@ -535,7 +536,9 @@ def encode_long(texts, path, chunk=CHUNK):
             state = int(found[state])
         return pd.DataFrame({"mark": frame["mark"], "k": frame["k"], "leave": out})
 
-    left = dealt(states, "mark").groupBy("mark").applyInPandas(leave, "mark string, k int, leave int")
+    # Stored, so that no task runs two of these steps, in a Python worker each.
+    left = store(by_group(dealt(states, "mark"), ["mark"], leave, "mark string, k int, leave int"),
+                 "pieces-left")
     coded = each(lambda model, f: model.between(f["part"], f["own"], f["entry"], f["leave"]),
                  "ids", "array<int>")(entered.join(left, ["mark", "k"]))
     return coded.groupBy("mark").agg(F.flatten(F.transform(
